@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnspark.operators.bounded import group_map
+from turnspark.operators.bounded import group_values, lookup
 from turnspark.ranking import hash_rank, seeded_hash
 
 
@@ -26,9 +26,9 @@ def stratified_holdout(
 ) -> DataFrame:
     """Add ``split``: round(frac * n) rows of every label are ``valid``, the rest ``train``."""
     ranked = hash_rank(df, seeded_hash(seed, F.col(row_id)), F.col(row_id), [label], "_rank")
-    totals = group_map(df, label, F.count(F.lit(1)))
-    cut = F.floor(F.element_at(totals, F.col(label)) * F.lit(float(frac)) + F.lit(0.5))
-    split = F.when(F.col("_rank") <= cut, "valid").otherwise("train")
+    sizes = group_values(df, label, F.count(F.lit(1)))
+    cuts = {c: math.floor(n * frac + 0.5) for c, n in sizes.items()}
+    split = F.when(F.col("_rank") <= lookup(cuts, F.col(label)), "valid").otherwise("train")
     return ranked.withColumn("split", split).drop("_rank")
 
 
@@ -69,11 +69,8 @@ def stratified_subset(
     df: DataFrame, n: int, seed: int, label: str = "label", row_id: str = "id"
 ) -> DataFrame:
     """Keep n rows with the label shares of the table; the whole table if it is smaller."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    counts = group_values(df, label, F.count(F.lit(1)))
     if n >= sum(counts.values()):
         return df
-    wanted = F.create_map(
-        *[F.lit(v) for c, m in quotas(counts, n).items() for v in (c, m)]
-    )
     ranked = hash_rank(df, seeded_hash(seed, F.col(row_id)), F.col(row_id), [label], "_rank")
-    return ranked.where(F.col("_rank") <= F.element_at(wanted, F.col(label))).drop("_rank")
+    return ranked.where(F.col("_rank") <= lookup(quotas(counts, n), F.col(label))).drop("_rank")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnspark.functions.binding import bind
+from turnspark.lineage import cut_lineage
 from turnspark.ranking import exact_quantiles
 
 PROB_GRID = (0.30, 0.70, 0.01)
@@ -44,7 +46,7 @@ def grid_table(spark, grid: Sequence[float]) -> DataFrame:
     )
 
 
-def _last_step(score: Column, grid: Sequence[float]) -> Column:
+def _last_step(value: Column, grid: Sequence[float]) -> Column:
     """Index of the last grid point that the score reaches, -1 below the grid.
 
     The step is found by halving, so any ascending grid works exactly.
@@ -53,17 +55,18 @@ def _last_step(score: Column, grid: Sequence[float]) -> Column:
     low, high = F.lit(-1), F.lit(len(grid) - 1)
     state = F.struct(low.alias("lo"), high.alias("hi"))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        reached = F.get(points, mid) <= score
-        return F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(reached, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(
-                F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi"))
-            )
-        )
+    def halver(score: Column):
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+            up = F.struct(mid.alias("lo"), s["hi"].alias("hi"))
+            down = F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi"))
+            moved = F.when(F.get(points, mid) <= score, up).otherwise(down)
+            return F.when(s["lo"] >= s["hi"], s).otherwise(moved)
+
+        return halve
 
     rounds = F.sequence(F.lit(1), F.lit(len(grid).bit_length() + 1))
-    return F.aggregate(rounds, state, halve, lambda s: s["lo"])
+    return bind(value, lambda score: F.aggregate(rounds, state, halver(score), lambda s: s["lo"]))
 
 
 def sweep(
@@ -157,5 +160,9 @@ def tune_threshold_probs(
 
 
 def tune_threshold_scores(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Best threshold for signed scores; the grid follows the score percentiles."""
-    return best_threshold(sweep(df, threshold_grid(df, score), score, label))
+    """Best threshold for signed scores; the grid follows the score percentiles.
+
+    The percentiles take several passes, so the two columns are written once first.
+    """
+    pairs = cut_lineage(df.select(score, label))
+    return best_threshold(sweep(pairs, threshold_grid(pairs, score), score, label))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from turnspark.queries.registry import REGISTRY, SQL
 
-MODULES = ["text"]
+MODULES = ["text", "splits", "metrics"]
 
 
 def load_all() -> None:

@@ -213,19 +213,15 @@ def centroid_probs(embeddings: DataFrame, part: int | None, digits: int = 6) ->
     """id, y, probs: softmax of minus the squared distance to every class centroid.
 
     ``part`` restricts the distance to the dimensions i with i % 3 == part. The
-    centroids are one row per class of a closed domain, looked up as one value.
+    centroids are one row per class of a closed domain and become constants.
     """
     dims = 64
     means = embeddings.groupBy("label").agg(
         F.array(*[F.avg(F.get("embedding", i).cast("double")) for i in range(dims)]).alias("c")
     )
     rows = means.select("label", _keep_dims(F.col("c"), part).alias("c"))
-    ordered = F.array_sort(F.collect_list(F.struct("label", "c")))
-    centroids = (
-        rows.where(F.col("label").between(0, CLASSES - 1))
-        .agg(F.transform(ordered, lambda e: e["c"]).alias("all"))
-        .scalar()
-    )
+    found = rows.where(F.col("label").between(0, CLASSES - 1)).orderBy("label").collect()
+    centroids = F.array(*[F.array(*[F.lit(x) for x in r["c"]]) for r in found])
     point = _keep_dims(F.col("embedding").cast("array<double>"), part)
 
     def distances(x: Column) -> Column:
