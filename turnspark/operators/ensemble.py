@@ -49,7 +49,9 @@ def align_models(
     )
     return wide.select(
         row_id,
-        F.when(complete, stack).otherwise(problem.cast(wide.select(stack.alias("s")).schema["s"].dataType)).alias("stack"),
+        F.when(complete, stack).otherwise(problem.cast(wide.select(stack).schema[0].dataType)).alias(
+            "stack"
+        ),
     )
 
 
@@ -85,11 +87,16 @@ def ensemble_mean(
 
 
 def paired_outputs(
-    strong: DataFrame, diverse: DataFrame, row_id: str = "id", probs: str = "probs"
+    strong: DataFrame,
+    diverse: DataFrame,
+    row_id: str = "id",
+    probs: str = "probs",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Labels of both models and the strong model's confidence, one row per id."""
     a = strong.select(
         row_id,
+        *keep,
         argmax_label(F.col(probs)).alias("strong_label"),
         confidence(F.col(probs)).alias("confidence"),
     )
@@ -122,10 +129,7 @@ def confidence_gate(pairs: DataFrame, k: int, row_id: str = "id") -> DataFrame:
     is_gated = F.coalesce(F.col("gated"), F.lit(False))
     label = F.when(is_gated, F.col("diverse_label")).otherwise(F.col("strong_label"))
     return joined.select(
-        row_id,
-        "confidence",
-        "strong_label",
-        "diverse_label",
+        *pairs.columns,
         is_gated.alias("gated"),
         label.alias("label"),
         (label != F.col("strong_label")).alias("changed"),

@@ -7,71 +7,78 @@ steps then give the confusion counts at every threshold at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnspark.functions.binding import bind
 from turnspark.lineage import cut_lineage
 from turnspark.ranking import exact_quantiles
 
-PROB_GRID = (0.30, 0.70, 0.01)
 SCORE_STEPS = 401
 
 
-def linear_grid(low: float, step: float, points: int) -> list[float]:
-    return [low + i * step for i in range(points)]
-
-
-def prob_grid(low: float = 0.30, high: float = 0.70, step: float = 0.01) -> list[float]:
+@dataclass(frozen=True)
+class Grid:
+    """Thresholds low, low + step, ... and optionally 0, ascending and distinct."""
+
+    low: float
+    step: float
+    points: int
+    with_zero: bool = False
+
+    def linear(self) -> list[float]:
+        return [self.low + i * self.step for i in range(self.points)]
+
+    def values(self) -> list[float]:
+        extra = {0.0} if self.with_zero else set()
+        return sorted(set(self.linear()) | extra)
+
+    def reached(self, score: Column) -> Column:
+        """How many thresholds the score reaches.
+
+        The division only guesses the step; comparing with the very values of the grid
+        then settles it, so scores on a grid point are counted exactly.
+        """
+        low, step = F.lit(self.low), F.lit(self.step)
+        if self.step > 0:
+            guess = F.least(F.floor((score - low) / step), F.lit(self.points - 1))
+            guess = F.greatest(guess, F.lit(-1)).cast("int")
+            too_far = (guess >= 0) & (low + guess * step > score)
+            too_short = (guess < self.points - 1) & (low + (guess + 1) * step <= score)
+            count = guess + 1 - too_far.cast("int") + too_short.cast("int")
+        else:
+            count = (score >= low).cast("int")
+        if self.with_zero and 0.0 not in self.linear():
+            count = count + (score >= 0).cast("int")
+        return count
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Rows (step, threshold), step counting from 1."""
+        rows = [(i + 1, t) for i, t in enumerate(self.values())]
+        return spark.createDataFrame(rows, "step int, threshold double")
+
+
+def prob_grid(low: float = 0.30, high: float = 0.70, step: float = 0.01) -> Grid:
     """Probability thresholds low, low + step, ... up to high."""
-    return linear_grid(low, step, int((high - low) / step + 0.5) + 1)
+    return Grid(low, step, int((high - low) / step + 0.5) + 1)
 
 
-def threshold_grid(df: DataFrame, score: str, points: int = SCORE_STEPS) -> list[float]:
+def threshold_grid(df: DataFrame, score: str, points: int = SCORE_STEPS) -> Grid:
     """Linear grid between the 1st and 99th percentile (whole range if they meet), with 0."""
     low, high = exact_quantiles(df, score, [0.01, 0.99])
     if low == high:
         edge = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
         low, high = edge[0], edge[1]
-    grid = linear_grid(low, (high - low) / (points - 1), points)
-    return sorted({*grid, 0.0})
-
-
-def grid_table(spark, grid: Sequence[float]) -> DataFrame:
-    """The grid as rows (step, threshold); its length is the caller's constant."""
-    return spark.createDataFrame(
-        [(i, float(t)) for i, t in enumerate(grid)], "step int, threshold double"
-    )
-
-
-def _last_step(value: Column, grid: Sequence[float]) -> Column:
-    """Index of the last grid point that the score reaches, -1 below the grid.
-
-    The step is found by halving, so any ascending grid works exactly.
-    """
-    points = F.array(*[F.lit(float(t)) for t in grid])
-    low, high = F.lit(-1), F.lit(len(grid) - 1)
-    state = F.struct(low.alias("lo"), high.alias("hi"))
-
-    def halver(score: Column):
-        def halve(s: Column, _: Column) -> Column:
-            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-            up = F.struct(mid.alias("lo"), s["hi"].alias("hi"))
-            down = F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi"))
-            moved = F.when(F.get(points, mid) <= score, up).otherwise(down)
-            return F.when(s["lo"] >= s["hi"], s).otherwise(moved)
-
-        return halve
-
-    rounds = F.sequence(F.lit(1), F.lit(len(grid).bit_length() + 1))
-    return bind(value, lambda score: F.aggregate(rounds, state, halver(score), lambda s: s["lo"]))
+    if low == high:
+        return Grid(low, 0.0, 1, with_zero=True)
+    return Grid(low, (high - low) / (points - 1), points, with_zero=True)
 
 
 def sweep(
     df: DataFrame,
-    grid: Sequence[float],
+    grid: Grid,
     score: str = "score",
     label: str = "label",
     by: Sequence[str] = (),
@@ -82,45 +89,37 @@ def sweep(
     """
     by = list(by)
     counted = (
-        df.select(*by, F.col(label).alias("_y"), _last_step(F.col(score), grid).alias("step"))
+        df.select(*by, F.col(label).alias("_y"), grid.reached(F.col(score)).alias("step"))
         .groupBy(*by, "step")
         .agg(
             F.count_if(F.col("_y") == 1).alias("pos"),
             F.count_if(F.col("_y") == 0).alias("neg"),
         )
     )
-    steps = F.broadcast(grid_table(df.sparkSession, grid))
-    keys = counted.select(*by).distinct() if by else None
-    # Grid length x number of keys: both are small tables by construction.
-    frame = (
-        steps.select(F.col("step"), "threshold", F.lit(True).alias("_grid"))
-        if keys is None
-        else keys.withColumn(
-            "_t",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("step"), F.lit(float(t)).alias("threshold"))
-                        for i, t in enumerate(grid)
-                    ]
-                )
-            ),
-        ).select(*by, "_t.step", "_t.threshold", F.lit(True).alias("_grid"))
+    # Every key gets every step: thresholds without scores of their own count too.
+    # Step 0 collects the scores below the grid.
+    steps = F.array(
+        *[
+            F.struct(F.lit(i + 1).alias("step"), F.lit(t).alias("threshold"))
+            for i, t in enumerate(grid.values())
+        ]
+    )
+    keys = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).drop("_n") if by else (
+        df.sparkSession.range(1).drop("id")
     )
+    frame = keys.select(*by, F.explode(steps).alias("_t")).select(*by, "_t.*")
     full = frame.join(counted, [*by, "step"], "full_outer").fillna(0, ["pos", "neg"])
     up = W.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*by)
     tp, fp = F.sum("pos").over(up), F.sum("neg").over(up)
     counts = full.select(
         *by,
-        "step",
         "threshold",
-        "_grid",
         tp.alias("tp"),
         fp.alias("fp"),
         (F.sum("pos").over(whole) - tp).alias("fn"),
         (F.sum("neg").over(whole) - fp).alias("tn"),
-    ).where("_grid")
+    ).where("threshold is not null")
     f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))
     f0 = 2 * F.col("tn") / (2 * F.col("tn") + F.col("fp") + F.col("fn"))
     seen1 = F.col("tp") + F.col("fp") + F.col("fn") > 0

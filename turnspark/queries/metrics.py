@@ -375,8 +375,7 @@ def signed_scores(spark, sf_dir):
 )
 def grid_query(spark, sf_dir):
     grid = th.threshold_grid(cut_lineage(signed_scores(spark, sf_dir)), "score")
-    table = th.grid_table(spark, grid)
-    return table.select(F.round("threshold", 6).alias("threshold"))
+    return grid.table(spark).select(F.round("threshold", 6).alias("threshold"))
 
 
 @query(

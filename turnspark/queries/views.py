@@ -5,6 +5,11 @@ Each view exists twice: as a DataFrame and as SQL text for the twin queries.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,7 @@ from turnspark.functions.text import (
     TRAILING_WORDS,
     endpoint_features,
 )
+from turnspark.operators.ensemble import paired_outputs
 
 SEED = 42
 FOLDS = 5
@@ -209,52 +215,60 @@ def _keep_dims(values: Column, part: int | None) -> Column:
     return F.filter(values, lambda _, i: i % 3 == part)
 
 
-def centroid_probs(embeddings: DataFrame, part: int | None, digits: int = 6) -> DataFrame:
-    """id, y, probs: softmax of minus the squared distance to every class centroid.
+def class_centroids(embeddings: DataFrame) -> list[list[float]]:
+    """Mean embedding of every class of the closed domain 0..CLASSES-1."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    rows = (
+        embeddings.where(F.col("label").between(0, CLASSES - 1))
+        .groupBy("label")
+        .agg(vector_to_array(Summarizer.mean(vector)).alias("c"))
+    )
+    return [r["c"] for r in rows.orderBy("label").collect()]
+
+
+def centroid_probs(centroids: list[list[float]], part: int | None, digits: int = 6) -> Column:
+    """Softmax of minus the squared distance of ``embedding`` to every class centroid.
 
-    ``part`` restricts the distance to the dimensions i with i % 3 == part. The
-    centroids are one row per class of a closed domain and become constants.
+    ``part`` restricts the distance to the dimensions i with i % 3 == part.
     """
-    dims = 64
-    means = embeddings.groupBy("label").agg(
-        F.array(*[F.avg(F.get("embedding", i).cast("double")) for i in range(dims)]).alias("c")
-    )
-    rows = means.select("label", _keep_dims(F.col("c"), part).alias("c"))
-    found = rows.where(F.col("label").between(0, CLASSES - 1)).orderBy("label").collect()
-    centroids = F.array(*[F.array(*[F.lit(x) for x in r["c"]]) for r in found])
+    kept = [[x for i, x in enumerate(c) if part is None or i % 3 == part] for c in centroids]
+    constant = F.from_json(F.lit(json.dumps(kept)), "array<array<double>>")
     point = _keep_dims(F.col("embedding").cast("array<double>"), part)
 
     def distances(x: Column) -> Column:
         return F.transform(
-            centroids,
+            constant,
             lambda c: -array_sum(F.zip_with(x, c, lambda a, b: (a - b) * (a - b))),
         )
 
-    probs = F.transform(softmax(bind(point, distances)), lambda p: F.round(p, digits))
-    return embeddings.select(
-        F.col("vec_id").alias("id"), F.col("label").alias("y"), probs.alias("probs")
-    )
-
-
-def strong_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroid_probs(table(spark, sf_dir, "embeddings"), None)
+    return F.transform(softmax(bind(point, distances)), lambda p: F.round(p, digits))
 
 
-def diverse_probs(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
-    return centroid_probs(table(spark, sf_dir, "embeddings"), part)
+MODELS = ["strong", "diverse1", "diverse2", "diverse3"]
 
 
-MODELS = ["strong", "diverse1", "diverse2", "diverse3"]
+def model_probs(spark: SparkSession, sf_dir: str, models: Sequence[str] = MODELS) -> DataFrame:
+    """Rows (model, id, y, probs) of the probability tables, from one scan."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    centroids = class_centroids(embeddings)
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("model"),
+                centroid_probs(
+                    centroids, None if name == "strong" else int(name[-1]) - 1
+                ).alias("probs"),
+            )
+            for name in models
+        ]
+    )
+    return embeddings.select(
+        F.col("vec_id").alias("id"), F.col("label").alias("y"), F.explode(each).alias("e")
+    ).select("e.model", "id", "y", "e.probs")
 
 
-def model_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (model, id, y, probs) of all four probability tables."""
-    parts = [strong_probs(spark, sf_dir)] + [diverse_probs(spark, sf_dir, p) for p in range(3)]
-    out = None
-    for name, part in zip(MODELS, parts):
-        named = part.select(F.lit(name).alias("model"), "id", "y", "probs")
-        out = named if out is None else out.unionByName(named)
-    return out
+def strong_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_probs(spark, sf_dir, ["strong"]).drop("model")
 
 
 def _sql_probs(name: str, part: int | None) -> str:
@@ -294,8 +308,7 @@ pairs AS (SELECT * FROM s_best JOIN d_best USING (id))"""
 
 
 def gate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from turnspark.operators.ensemble import paired_outputs
-
-    strong = strong_probs(spark, sf_dir)
-    pairs = paired_outputs(strong, diverse_probs(spark, sf_dir, 0))
-    return pairs.join(strong.select("id", "y"), "id")
+    """Labels of a strong and a diverse model with the truth, one row per id."""
+    probs = model_probs(spark, sf_dir, ["strong", "diverse1"])
+    strong, diverse = (probs.where(F.col("model") == n) for n in ("strong", "diverse1"))
+    return paired_outputs(strong, diverse, keep=["y"])
