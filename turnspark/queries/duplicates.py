@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnspark.functions.scores import labels_from_scores
 from turnspark.operators import compare as cp
 from turnspark.operators import duplicates as du
+from turnspark.operators import near as nr
 from turnspark.operators import thresholds as th
 from turnspark.operators.splits import stratified_holdout
 from turnspark.plans.candidates import run_summary
@@ -263,3 +264,19 @@ def run_summary_query(spark, sf_dir):
     )
     shapes = ["train_rows", "train_label0", "train_label1", "test_rows"]
     return summary.select(*shapes, "transfer.*")
+
+
+@query("near_duplicate_transfer")
+def near_query(spark, sf_dir):
+    """Whole texts of both tables at the strict default ratio."""
+    test = v.unlabelled(spark, sf_dir).withColumn("pos", F.col("id"))
+    return nr.near_duplicate_transfer(
+        train_table(spark, sf_dir), test, base_labels(spark, sf_dir)
+    )
+
+
+@query("near_duplicate_matches")
+def near_loose_query(spark, sf_dir):
+    """All near matches at a looser ratio, with ratio and cosine."""
+    test = v.unlabelled(spark, sf_dir).withColumn("pos", F.col("id"))
+    return nr.near_matches(train_table(spark, sf_dir), test, min_ratio=0.95)
