@@ -8,7 +8,37 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE: list[str] = []
+HEADLINE = [
+    "endpoint_features",
+    "normalize_text",
+    "word_ngrams",
+    "char_wb_ngrams",
+    "tfidf",
+    "fold_document_frequency",
+    "stratified_kfold",
+    "random_oversample",
+    "classification_report",
+    "tune_threshold_probs",
+    "tune_threshold_per_fold",
+    "tune_threshold_scores",
+    "score_zscore_ensemble",
+    "ensemble_mean",
+    "confidence_gate",
+    "gate_sweep",
+    "common_split_compare",
+    "exact_duplicate_transfer",
+    "compare_labels",
+    "validate_labels",
+    "zscore_subject",
+    "window_covariance_oas",
+    "aligned_covariances",
+    "whitened_second_moment",
+    "filter_signals",
+    "tangent_space",
+    "mdm_leave_one_subject_out",
+    "align_and_classify",
+    "csp_ridge",
+]
 
 
 def session() -> SparkSession:
@@ -36,7 +66,7 @@ def main() -> None:
     spark = session()
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
-    for name in HEADLINE or sorted(REGISTRY):
+    for name in HEADLINE:
         start = time.time()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)

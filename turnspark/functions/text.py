@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from turnspark.functions.binding import bind
 
 # ---- fixed values -------------------------------------------------------
-# Characters Python counts as whitespace; Java's \s and trim() know fewer.
+# Characters Python counts as whitespace; Java's \\s and trim() know fewer.
 WHITESPACE = (
-    "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 CURLY_QUOTES = "‘’“”"
 STRAIGHT_QUOTES = "''\"\""
@@ -61,17 +63,22 @@ ENDPOINT_NAMES = [
 
 def clean_text(text: Column) -> Column:
     """Null becomes empty; all leading and trailing whitespace goes."""
-    return F.regexp_replace(
-        F.coalesce(text, F.lit("")), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", ""
-    )
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
+
+
+def plain_blanks(text: Column) -> Column:
+    """Every kind of whitespace becomes a blank."""
+    return F.translate(text, WHITESPACE, " " * len(WHITESPACE))
 
 
 def normalize_text(text: Column) -> Column:
     """Canonical form for duplicate search: case, quotes and blanks no longer matter."""
     value = clean_text(F.lower(text))
-    value = F.translate(value, CURLY_QUOTES, STRAIGHT_QUOTES)
-    value = F.regexp_replace(value, f"[{WHITESPACE}]+", " ")
-    return F.regexp_replace(value, f"[{WHITESPACE}]+([,.!?;:])", "$1")
+    value = F.translate(
+        value, WHITESPACE + CURLY_QUOTES, " " * len(WHITESPACE) + STRAIGHT_QUOTES
+    )
+    value = F.regexp_replace(value, " {2,}", " ")
+    return F.regexp_replace(value, " ([,.!?;:])", "$1")
 
 
 def _flag(condition: Column) -> Column:
@@ -83,22 +90,37 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def _tokens(lowered: Column) -> Column:
+    return F.regexp_extract_all(lowered, F.lit(f"({CUE_TOKEN})"), F.lit(1))
+
+
+def _word_counts(lowered: Column) -> Column:
+    """Struct of the word count, the last word and the listed-word counts, tokenised once."""
+
+    def listed(tokens: Column, options: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(options))).cast("double")
+
+    def summary(tokens: Column) -> Column:
+        return F.struct(
+            F.size(tokens).alias("words"),
+            F.coalesce(F.get(tokens, F.size(tokens) - 1), F.lit("")).alias("last"),
+            listed(tokens, FILLERS).alias("fillers"),
+            listed(tokens, CONJUNCTIONS).alias("conjunctions"),
+        )
+
+    return bind(_tokens(lowered), summary)
+
+
 def endpoint_features(text: Column) -> list[Column]:
     """The 18 cue columns, named as in ENDPOINT_NAMES."""
     body = clean_text(text)
     lowered = F.lower(body)
-    tokens = F.regexp_extract_all(lowered, F.lit(f"({CUE_TOKEN})"), F.lit(1))
-    chars = F.length(body)
-    words = F.size(tokens)
-    last = F.when(words > 0, F.element_at(tokens, -1)).otherwise("")
+    counts = _word_counts(lowered)
+    chars, words = F.length(body), counts["words"]
     starts = F.lit(False)
     for prefix in REQUEST_PREFIXES:
         starts = starts | lowered.startswith(prefix)
     commas = _count_of(body, ",")
-
-    def listed(options: list[str]) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(options))).cast("double")
-
     values = [
         F.log1p(chars),
         F.log1p(words),
@@ -109,12 +131,12 @@ def endpoint_features(text: Column) -> list[Column]:
         _flag(body.endswith("!")),
         _flag(body.endswith(",")),
         _flag(body.endswith("-") | body.endswith("...")),
-        _flag(last.isin(TRAILING_WORDS)),
+        _flag(counts["last"].isin(TRAILING_WORDS)),
         _flag(starts),
         _flag(body.contains("?")),
         _flag(commas > 0),
-        listed(FILLERS),
-        listed(CONJUNCTIONS),
+        counts["fillers"],
+        counts["conjunctions"],
         _flag(words <= 4),
         _flag(chars <= 24),
         _flag((words > 0) & (chars / F.greatest(words, F.lit(1)) > 6.5)),
@@ -159,7 +181,7 @@ def char_wb_ngrams(text: Column, low: int, high: int, lowercase: bool = True) ->
     """
     source = F.coalesce(text, F.lit(""))
     source = F.lower(source) if lowercase else source
-    words = F.filter(F.split(source, f"[{WHITESPACE}]+"), lambda w: w != "")
+    words = F.filter(F.split(plain_blanks(source), " +"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     empty = F.array().cast("array<string>")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnspark.functions.scores import labels_from_scores
+from turnspark.lineage import cut_lineage
 from turnspark.operators import compare as cp
 from turnspark.operators import duplicates as du
 from turnspark.operators import near as nr
@@ -97,7 +98,8 @@ def candidates(spark, sf_dir):
             labels_from_scores((F.col("prob") + F.col("prob_short")) / 2, 0.7).alias("label"),
         ),
     )
-    return scores.select("id", F.explode(each).alias("e")).select("e.candidate", "id", "e.label")
+    rows = scores.select("id", F.explode(each).alias("e")).select("e.candidate", "id", "e.label")
+    return cut_lineage(rows)  # label tables are stored tables
 
 
 SQL_CANDIDATES = f"""{v.SQL_UNLABELLED},
@@ -106,9 +108,9 @@ cands AS (SELECT 'full' AS candidate, id, (prob >= 0.7::DOUBLE)::INT AS label FR
   UNION ALL SELECT 'mean', id, ((prob + prob_short) / 2 >= 0.7::DOUBLE)::INT FROM scores)"""
 
 
-def references(spark, sf_dir):
-    rows = candidates(spark, sf_dir).where("candidate <> 'mean'")
-    return rows.select(F.col("candidate").alias("reference"), "id", "label")
+def references(rows):
+    kept = rows.where("candidate <> 'mean'")
+    return kept.select(F.col("candidate").alias("reference"), "id", "label")
 
 
 @query(
@@ -123,9 +125,8 @@ def references(spark, sf_dir):
     FROM names LEFT JOIN pairs USING (candidate, reference)""",
 )
 def compare_query(spark, sf_dir):
-    return cp.compare_labels(
-        candidates(spark, sf_dir), references(spark, sf_dir), ["full", "short", "lost"]
-    )
+    rows = candidates(spark, sf_dir)
+    return cp.compare_labels(rows, references(rows), ["full", "short", "lost"])
 
 
 @query(
@@ -135,7 +136,8 @@ def compare_query(spark, sf_dir):
         FROM cands JOIN refs USING (id) WHERE label <> ref_label""",
 )
 def changed_query(spark, sf_dir):
-    return cp.changed_rows(candidates(spark, sf_dir), references(spark, sf_dir))
+    rows = candidates(spark, sf_dir)
+    return cp.changed_rows(rows, references(rows))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnspark.lineage import cut_lineage
 from turnspark.operators import ensemble as en
 from turnspark.operators import metrics as m
 from turnspark.operators.splits import stratified_holdout, stratified_kfold
@@ -114,9 +115,10 @@ def member_scores(spark, sf_dir):
         F.struct(F.lit("full").alias("model"), F.col("prob").alias("score")),
         F.struct(F.lit("short").alias("model"), F.col("prob_short").alias("score")),
     )
-    return folds.select("id", "label", "fold", F.explode(each).alias("e")).select(
+    rows = folds.select("id", "label", "fold", F.explode(each).alias("e")).select(
         "id", "label", "fold", "e.*"
     )
+    return cut_lineage(rows)  # score tables are stored tables
 
 
 SQL_MEMBERS = f"""folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY label

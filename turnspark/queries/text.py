@@ -45,8 +45,8 @@ def standardize_query(spark, sf_dir):
 )
 def clean_query(spark, sf_dir):
     cleaned = clean_text(F.col("text"))
-    return v.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.md5(cleaned).alias("digest"), F.length(cleaned).alias("chars")
+    return v.documents(spark, sf_dir).select(
+        "id", F.md5(cleaned).alias("digest"), F.length(cleaned).alias("chars")
     )
 
 
@@ -57,8 +57,8 @@ def clean_query(spark, sf_dir):
 )
 def normalize_query(spark, sf_dir):
     value = normalize_text(F.col("text"))
-    return v.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.md5(value).alias("digest"), F.length(value).alias("chars")
+    return v.documents(spark, sf_dir).select(
+        "id", F.md5(value).alias("digest"), F.length(value).alias("chars")
     )
 
 
@@ -73,9 +73,7 @@ def _rounded(names):
     + f" SELECT id, {_rounded(ENDPOINT_NAMES)} FROM f",
 )
 def endpoint_query(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), *endpoint_features(F.col("text"))
-    )
+    docs = v.documents(spark, sf_dir).select("id", *endpoint_features(F.col("text")))
     return docs.select("id", *[F.round(n, 6).alias(n) for n in ENDPOINT_NAMES])
 
 
@@ -125,7 +123,7 @@ def sql_word_grams(high: int) -> str:
 
 @query("word_ngrams", f"WITH {SQL_WORDS}, {sql_word_grams(3)}, {SQL_PROFILE}")
 def word_ngrams_query(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = v.documents(spark, sf_dir)
     return _gram_profile(tf.term_counts(docs, word_ngrams(F.col("text"), 1, 3)))
 
 
@@ -153,7 +151,7 @@ def sql_char_grams(source: str, low: int, high: int, lowered: bool = True) -> st
         {sql_char_grams('src', 3, 5)}, {SQL_PROFILE}""",
 )
 def char_ngrams_query(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = v.documents(spark, sf_dir)
     return _gram_profile(tf.term_counts(docs, char_wb_ngrams(F.col("text"), 3, 5)))
 
 

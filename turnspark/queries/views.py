@@ -50,19 +50,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- turns
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and text. A table of fewer splits than cores is hashed over the cores first."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text, label: the documents that carry a quality label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("id"), "text", F.col("quality").alias("label")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
     )
+    return documents(spark, sf_dir).join(labels, "id").select("id", "text", "label")
 
 
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return documents(spark, sf_dir).join(labels, "id", "left_anti")
 
 
 def cue_prob(weights=CUE_WEIGHTS, intercept=CUE_INTERCEPT) -> Column:
