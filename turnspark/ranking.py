@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from turnspark.lineage import cut_lineage
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row counter in the low 33 bits
-HASH_DIGITS = 3  # 16**3 buckets per group
+HASH_DIGITS = 4  # 16**4 buckets per group
 
 
 def seeded_hash(seed: object, *ids: Column) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 64
 HOT_SHARE = 0.01
-SALTS = 32
 
 
 def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> Column:
@@ -41,14 +40,16 @@ def lookup_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` that holds one row per key.
 
-    Only heavy keys are salted: their rows spread over ``salts`` partitions by a
-    hash of ``spread_by`` and their single lookup row is repeated that often.
+    Only heavy keys are salted: their rows spread over ``salts`` partitions (by default
+    all shuffle partitions) by a hash of ``spread_by`` and their single lookup row is
+    repeated that often, which adds at most HOT_KEYS x salts small rows.
     """
     on = list(on)
+    salts = salts or shuffle_partitions(rows)
     hot = hot_keys(rows, _key_text(on))
     is_hot = F.array_contains(hot, _key_text(on))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
@@ -58,11 +59,14 @@ def lookup_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all shuffle partitions before a step that multiplies them.
 
     The explicit partition count stops AQE from merging partitions by their size
     before the step.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys)
+    return df.repartition(shuffle_partitions(df), *keys)
