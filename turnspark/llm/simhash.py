@@ -140,21 +140,29 @@ def _near(a: Column | str, b: Column | str) -> Column:
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """Component root of every linked fingerprint: ``node``, ``root``; ``distinct`` has ``fp``.
 
-    Every member of a key's bucket is first compared with four members of the bucket, which is
-    linear and already joins dense groups. What then still holds several components is compared
+    Two or three fingerprints with one key are compared within the aggregated row. In larger
+    buckets every member is first compared with four members of the bucket, which is linear and
+    already joins dense groups. What then still holds several components is compared
     exactly: members outside the bucket's largest component against all of other components.
     So every link between two components is found, without emitting all pairs of a dense group.
     """
     keys = stored(distinct.mapInArrow(_keys, "key long, fp long"), "golay")
     mixed = F.xxhash64("fp")
     buckets = keys.groupBy("key").agg(
-        F.min("fp").alias("l1"), F.max("fp").alias("l2"), F.min_by("fp", mixed).alias("l3"), F.max_by("fp", mixed).alias("l4")
-    ).where("l1 <> l2")
-    shared = stored(keys.join(buckets, "key"), "buckets")
+        F.count(F.lit(1)).alias("n"), F.bit_xor("fp").alias("mix"), F.min("fp").alias("l1"), F.max("fp").alias("l2"),
+        F.min_by("fp", mixed).alias("l3"), F.max_by("fp", mixed).alias("l4"),
+    ).where("n > 1")
+    buckets = stored(buckets, "buckets")
+    third = F.col("mix").bitwiseXOR(F.col("l1")).bitwiseXOR(F.col("l2"))  # member of three
+    few = buckets.where("n <= 3").select("l1", "l2", F.when(F.col("n") == 3, third).otherwise(F.col("l1")).alias("l5"))
+    some = [few.where(_near(a, b) & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"))
+            for a, b in (("l1", "l2"), ("l1", "l5"), ("l2", "l5"))]
+    shared = stored(keys.join(buckets.where("n > 3").drop("n", "mix"), "key"), "shared")
     leaders = shared.select("fp", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("leader"))
     first = leaders.where(_near("fp", "leader") & (F.col("fp") != F.col("leader"))).select(
         F.col("fp").alias("a"), F.col("leader").alias("b")
     )
+    first = first.union(some[0]).union(some[1]).union(some[2])
     roots = stored(components(first), "roots")
     members = shared.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(
         "key", "fp", F.coalesce("root", "fp").alias("comp")
