@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from turnspark.llm import langid, simhash
+from turnspark.llm import langid, line_dedup, simhash
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
 
@@ -28,4 +28,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line of the corpus."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
