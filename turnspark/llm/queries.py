@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from turnspark.llm import langid, line_dedup, simhash
+from turnspark.llm import decontaminate, langid, line_dedup, packing, simhash
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
 
 
 PIECES = "piece_bpe_32k.model"
+TOKENS = "word_bpe_49k.json"
 
 
 @query("op3_simhash_near_duplicates")
@@ -34,4 +35,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENS))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("file", "place")
+
+
 __all__ = ["QUERIES", "SQL"]

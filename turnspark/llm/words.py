@@ -13,6 +13,7 @@ FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
+FOLDED = np.frombuffer(FOLD, dtype=np.uint8)
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 CHUNK_BYTES = 1 << 21
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
@@ -47,15 +48,16 @@ class Parsed:
     word_hash: np.ndarray
 
 
-def _chunks(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[list[tuple[int, int, int]], int, int]]:
+def _chunks(offsets: np.ndarray, data: np.ndarray, cut_texts: bool) -> Iterator[tuple[list[tuple[int, int, int]], int, int]]:
     """Pieces of about CHUNK_BYTES: ((text, end, first line number) for each part), start, end.
 
-    Texts are cut after a line feed only, so memory follows the chunk or one longer line.
+    Texts are cut after a line feed only, so memory follows the chunk or one longer line (one
+    longer text, if texts are not to be cut).
     """
     parts, start = [], int(offsets[0])
     for text in range(len(offsets) - 1):
         low, high, number = int(offsets[text]), int(offsets[text + 1]), 0
-        while high - low > CHUNK_BYTES:
+        while cut_texts and high - low > CHUNK_BYTES:
             feeds = np.nonzero(data[low + CHUNK_BYTES : high] == 0x0A)[0]
             if not len(feeds):
                 break
@@ -72,17 +74,18 @@ def _chunks(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[list[tuple[
         yield parts, start, int(offsets[-1])
 
 
-def parse(texts: pa.Array) -> Iterator[Parsed]:
+def parse(texts: pa.Array, fold: bool = False) -> Iterator[Parsed]:
     """Lines (split at line feeds) and words (runs outside blank, tab, feeds and return) of binary texts.
 
-    Null texts have no bytes and one empty line.
+    Null texts have no bytes and one empty line. With ``fold`` words are those of ``folded_words``
+    and each text is one line.
     """
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    for parts, start, end in _chunks(offsets, data):
-        low = LOWER[data[start:end]]
+    for parts, start, end in _chunks(offsets, data, not fold):
+        low = (FOLDED if fold else LOWER)[data[start:end]]
         word = ~BLANK[low]
         ends = np.array([e - start for _, e, _ in parts], dtype=np.int64)
         feeds = np.nonzero(low == 0x0A)[0]
