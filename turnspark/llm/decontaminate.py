@@ -257,16 +257,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     ``file``, ``place`` (see ``keyed``), ``doc_id``, ``item_id``, ``cosine`` (in the latent space),
     ``subsequence`` (share of the item's content words that stand in order in the document),
     ``first_word`` and ``last_word`` (places of the item's words nearby). Words are runs of digits,
-    letters and characters beyond ASCII, A-Z as a-z. Null and empty texts hold nothing, items
+    letters and characters beyond ASCII of the lower-cased text. Null and empty texts hold nothing, items
     without a word are in no document, repeated rows and items are all reported. All passages of
     all documents are searched; the benchmark is taken in blocks of BLOCK_ITEMS, so what the
     driver and a task hold of it is bounded.
     """
     spark = docs.sparkSession
-    rows = keyed(docs).select("file", "place", F.col("row.doc_id").cast("bigint").alias("doc_id"), utf8(F.col("row.text")).alias("text"))
+    rows = keyed(docs).select("file", "place", F.col("row.doc_id").cast("bigint").alias("doc_id"), utf8(F.lower(F.col("row.text").cast("string"))).alias("text"))
     out = spark.createDataFrame([], LEAK)
     block: list = []
-    given = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    given = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     for row in [*given.orderBy("item_id", "text").toLocalIterator(), None]:
         if row is not None:
             block.append(row)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from turnspark.llm import decontaminate, langid, line_dedup, packing, simhash
+from turnspark.llm import decontaminate, langid, license_scan, line_dedup, packing, sharding, simhash
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
 
@@ -47,4 +47,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("file", "place")
 
 
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, under the law of near equal bytes."""
+    found = sharding.assigned(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 __all__ = ["QUERIES", "SQL"]
