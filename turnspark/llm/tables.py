@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps that nothing refers to any more.
+
+    It goes by the driver's garbage collections, which are rare while the driver has little to do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """``row`` (all columns) with ``file`` and ``place``, which name a row of stored files.
 
