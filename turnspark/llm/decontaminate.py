@@ -24,6 +24,7 @@ SUBSEQUENCE = 0.6
 VERBATIM = 0.9
 ANSWER = 0.5
 SEED = 7
+BLOCK_KEYS = 1 << 12
 
 LEAK = "file long, place long, doc_id long, item_id long, cosine double, subsequence double, first_word long, last_word long"
 
@@ -126,8 +127,8 @@ def _basis(rows: DataFrame, items: Items, weights: np.ndarray, tiles: int) -> np
             known = term >= 0
             known[known] = weights[term[known]] > 0
             keys, times = np.unique(tile[known] * len(weights) + term[known], return_counts=True)
-            for low in range(0, len(keys), 1 << 15):
-                _add_product(keys[low : low + (1 << 15)], times[low : low + (1 << 15)], weights, start, total)
+            for low in range(0, len(keys), BLOCK_KEYS):  # small enough for the processor's cache; a passage cut in two counts as two
+                _add_product(keys[low : low + BLOCK_KEYS], times[low : low + BLOCK_KEYS], weights, start, total)
         used = np.nonzero(total.any(axis=1))[0]
         values = pa.FixedSizeListArray.from_arrays(pa.array(total[used].reshape(-1)), size).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([pa.array(used), values], names=["term", "row"])
@@ -202,6 +203,20 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, cosine: float
         high &= norm[end] - norm[begin] > 1e-12
         return begin[high], end[high]
 
+    def scored(term: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float]]:
+        """(window, item, cosine) where the latent cosine is high enough; windows are ranges of ``term``."""
+        count = high - low
+        window = np.repeat(np.arange(len(low)), count)
+        place = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + low[window]
+        keys, times = np.unique(window * size + term[place], return_counts=True)
+        window, some = np.divmod(keys, size)
+        value = (times * weights[some]).astype(np.float32)
+        edge = np.nonzero(np.r_[True, window[1:] != window[:-1]])[0]
+        norm = np.sqrt(np.add.reduceat(value * value, edge))
+        scores = np.add.reduceat(latent[some] * value[:, None], edge, axis=0) / norm[:, None]
+        hit, item = np.nonzero(scores >= cosine)
+        return list(zip(window[edge][hit].tolist(), item.tolist(), scores[hit, item].tolist()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(items.vocabulary)
         table = np.append(weights, 0.0)
@@ -211,16 +226,13 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, cosine: float
                 continue
             begin, end = windows(owner, number, table[term], top[term])
             found: dict[tuple[int, int], tuple] = {}
-            for low, high in zip(begin.tolist(), end.tolist()):
-                some = term[low:high]
-                some, times = np.unique(some[some >= 0], return_counts=True)
-                value = times * weights[some]
-                norm = np.sqrt((value * value).sum())
-                if norm <= 0:
-                    continue
-                scores = value @ latent[some] / norm
-                for item in np.nonzero(scores >= cosine)[0].tolist():
-                    check(found, item, float(scores[item]), low, high, owner, number, term)
+            used = np.nonzero(table[term] > 0)[0]
+            lows, highs = np.searchsorted(used, begin), np.searchsorted(used, end)
+            for block in range(0, len(begin), 512):
+                at = slice(block, block + 512)
+                for window, item, score in scored(term[used], lows[at], highs[at]):
+                    place = block + window
+                    check(found, item, score, int(begin[place]), int(end[place]), owner, number, term)
             if found:
                 rows = list(found.items())
                 arrays = [batch.column(c).take(pa.array([k[0] for k, _ in rows], pa.int64())) for c in ("file", "place", "doc_id")]

@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from turnspark.llm import decontaminate, langid, license_scan, line_dedup, packing, sharding, simhash
+from turnspark.llm import (
+    decontaminate,
+    langid,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    url_filter,
+)
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
 
@@ -60,4 +70,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
 __all__ = ["QUERIES", "SQL"]
