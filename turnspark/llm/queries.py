@@ -17,6 +17,7 @@ from turnspark.llm import (
     sharding,
     simhash,
     url_filter,
+    warc,
 )
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
@@ -86,4 +87,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.page_labels(pages, table(spark, sf_dir, "labels")))
 
 
+@query("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, written to an archive and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 __all__ = ["QUERIES", "SQL"]
