@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnspark.llm.tables import keyed, slices, utf8
+from turnspark.llm.tables import from_files, keyed, slices, utf8
 from turnspark.llm.words import folded_words, parse
 
 BLOCK_ITEMS = 256  # benchmark items of one search; more items are searched block by block
@@ -304,5 +304,6 @@ def _block_leaks(rows: DataFrame, items: Items, cosine: float) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay."""
+    docs = from_files(docs)
     found = leaks(docs, benchmark, cosine).select("file", "place").distinct()
     return keyed(docs).join(found, ["file", "place"], "left_anti").select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnspark.llm.components import components
-from turnspark.llm.tables import keyed, slices, stored, utf8
+from turnspark.llm.tables import from_files, keyed, slices, stored, utf8
 
 SHINGLE = 4
 SEED = 42
@@ -211,6 +211,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Where the smallest id is repeated or null, the row with the smallest file position stays.
     """
+    docs = from_files(docs)
     classes = stored(near_duplicates(docs), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "place")
     names = classes.groupBy("class").agg(F.min(order).alias("first"))

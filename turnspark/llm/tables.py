@@ -45,14 +45,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def from_files(df: DataFrame) -> DataFrame:
+    """The rows as a plain scan of files, stored first if they are anything else.
+
+    Operators that key the same rows twice do this first, so that both get the same keys.
+    """
+    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return df if plan == "LogicalRelation" else stored(df, "rows")
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """``row`` (all columns) with ``file`` and ``place``, which name a row of stored files.
 
     Repeated rows and repeated ids get keys of their own. Anything but a plain file scan is
     stored first, as only file positions are stable under retries.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        df = stored(df, "rows")
+    df = from_files(df)
     meta = df.metadataColumn("_metadata")
     return df.select(
         F.xxhash64(meta["file_path"]).alias("file"),
