@@ -94,9 +94,7 @@ def pairs(spark):
 
 
 @pytest.mark.parametrize("k,want", [(0, [0, 1, 2]), (1, [0, 3, 2]), (9, [3, 3, 3])])
-@pytest.mark.parametrize("limit", [100_000, -1])
-def test_gate_golden(spark, monkeypatch, k, want, limit):
-    monkeypatch.setattr(en, "TOP_LIMIT", limit)
+def test_gate_golden(spark, k, want):
     got = en.confidence_gate(pairs(spark), k).orderBy("id").collect()
     assert [r["label"] for r in got] == want
 

@@ -128,7 +128,16 @@ def test_filter_job_keeps_band(spark):
     out = np.array(tr.filter_signals(df, tr.SignalConfig()).first()["x"][0])
     assert len(out) == 750
     np.testing.assert_allclose(out, mix[1][125:875], atol=0.02)
-    assert tr.SignalConfig.from_dict({"band_low": 4.0, "other": 1}).band_low == 4.0
+
+
+def test_zscore_subject_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    x = 1e8 + 0.001 * rng.standard_normal((4, 2, 16))
+    rows = [(0, i, x[i].tolist()) for i in range(4)] + [(1, 9, x[0, :, :5].tolist())]
+    df = spark.createDataFrame(rows, "subject int, trial long, x array<array<double>>")
+    out = {r["trial"]: np.array(r["x"]) for r in tr.zscore_subject(df).collect()}
+    mean, sd = x.mean(axis=(0, 2), keepdims=True), x.std(axis=(0, 2), keepdims=True)
+    np.testing.assert_allclose(np.stack([out[i] for i in range(4)]), (x - mean) / (sd + 1e-6), atol=1e-3)
 
 
 def logm(c):

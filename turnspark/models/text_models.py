@@ -40,12 +40,16 @@ from turnspark.lineage import cut_lineage
 from turnspark.operators.balance import balanced_weights, random_oversample
 from turnspark.skew import spread_rows
 
-VOCABULARY = 1 << 18  # largest vocabulary that is held on the driver and shipped to tasks
+ALL_TERMS = (1 << 31) - 1  # the largest count that the vectoriser's parameter can hold
 
 
 @dataclass(frozen=True)
 class TextConfig:
-    """One classifier to try. ``class_weight`` is None or ``balanced``, ``balance`` none or random."""
+    """One classifier to try. ``class_weight`` is None or ``balanced``, ``balance`` none or random.
+
+    The vocabulary is held on the driver and shipped to tasks; ``max_features`` limits it to the
+    most frequent terms, which is left to the caller.
+    """
 
     name: str
     model_kind: str = "svc"
@@ -58,7 +62,7 @@ class TextConfig:
     char_range: tuple[int, int] = (3, 6)
     use_endpoint: bool = True
     min_df: int = 2
-    max_features: int = VOCABULARY
+    max_features: int | None = None
     max_iter: int = 50
 
 
@@ -178,7 +182,7 @@ def fit_features(train: DataFrame, config: TextConfig) -> TextFeatures:
             inputCol=name,
             outputCol=f"{name}_c",
             minDF=float(config.min_df),
-            vocabSize=config.max_features,
+            vocabSize=config.max_features or ALL_TERMS,
         ).fit(tokens)
         seen = IDF(inputCol=f"{name}_c", outputCol="unused").fit(counter.transform(tokens))
         idf = np.log((1.0 + seen.numDocs) / (1.0 + np.array(seen.docFreq))) + 1.0

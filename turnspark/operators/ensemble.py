@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from turnspark.functions.scores import argmax_label, confidence
 from turnspark.ranking import position_rows
 
-TOP_LIMIT = 100_000  # largest k that one sorted top-k may carry
-
 
 def mean_probs(probs: str, n_classes: int) -> Column:
     """Element-wise mean of a probability array, as an aggregate."""
@@ -107,25 +105,17 @@ def paired_outputs(
 def least_confident(pairs: DataFrame, k: int, row_id: str = "id") -> DataFrame:
     """The k rows of lowest confidence with their rank, ties broken by id.
 
-    Up to TOP_LIMIT rows each task keeps its own k; beyond that the ranks come from a
-    range-partitioned sort, so no task holds them all.
+    The ranks come from a range-partitioned sort at any k, so no task holds them all.
     """
     order = [F.col("confidence"), F.col(row_id)]
-    if k <= TOP_LIMIT:
-        top = pairs.orderBy(*order).limit(max(k, 0))
-        return top.withColumn("gate_rank", F.row_number().over(W.orderBy(*order)))
     numbered = position_rows(pairs, order, "_pos").where(F.col("_pos") < k)
     return numbered.withColumn("gate_rank", F.col("_pos") + 1).drop("_pos")
 
 
-def _gate_hint(gated: DataFrame, k: int) -> DataFrame:
-    return F.broadcast(gated) if k <= TOP_LIMIT else gated
-
-
 def confidence_gate(pairs: DataFrame, k: int, row_id: str = "id") -> DataFrame:
     """Let the diverse model decide the k rows where the strong model is least sure."""
     gated = least_confident(pairs, k, row_id).select(row_id, F.lit(True).alias("gated"))
-    joined = pairs.join(_gate_hint(gated, k), row_id, "left")
+    joined = pairs.join(gated, row_id, "left")
     is_gated = F.coalesce(F.col("gated"), F.lit(False))
     label = F.when(is_gated, F.col("diverse_label")).otherwise(F.col("strong_label"))
     return joined.select(

@@ -7,7 +7,7 @@ row-major arrays.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,7 @@ EIGEN_FLOOR = 1e-6
 
 @dataclass(frozen=True)
 class SignalConfig:
-    """Filter and crop settings. Defaults are fixed values of the task."""
+    """Filter and crop settings."""
 
     fs: float = 250.0
     band_low: float = 8.0
@@ -32,12 +32,6 @@ class SignalConfig:
     crop_end: int = 875
     normalize: str = "none"
 
-    @classmethod
-    def from_dict(cls, values: dict) -> SignalConfig:
-        """Unknown keys are ignored."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
-
 
 def _others(df: DataFrame, *dropped: str) -> list[str]:
     return [c for c in df.columns if c not in dropped]
@@ -221,7 +215,14 @@ def zscore_subject(
     eps: float = 1e-6,
     spread_by: Sequence[str] = ("trial",),
 ) -> DataFrame:
-    """Scale each channel by its mean and deviation over all trials of the subject."""
+    """Scale each channel by its mean and deviation over all trials of the subject.
+
+    The variance is that within the trials plus that of the trials' means, both centred, so
+    signals far from zero keep their digits.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     channel = df.select(subject, F.posexplode(x).alias("ch", "v")).select(
         subject, "ch", F.size("v").alias("n"), signals.mean_of(F.col("v")).alias("m"), "v"
     )
@@ -229,10 +230,21 @@ def zscore_subject(
         subject, "ch", "n", "m", (signals.deviation_of(F.col("v"), F.col("m")) ** 2).alias("var")
     )
     n = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("m")) / n
-    second = F.sum(F.col("n") * (F.col("var") + F.col("m") * F.col("m"))) / n
-    per_channel = parts.groupBy(subject, "ch").agg(
-        mean.alias("mean"), F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("sd")
+    weighted = Summarizer.metrics("mean", "variance").summary(
+        array_to_vector(F.array("m")), F.col("n").cast("double")
+    )
+    sums = parts.groupBy(subject, "ch").agg(
+        weighted.alias("s"),
+        (F.sum(F.col("n") * F.col("var")) / n).alias("within"),
+        # The summary divides by the weights less their mean weight; here it is by all weights.
+        (1.0 - F.sum(F.col("n") * F.col("n")) / (n * n)).alias("share"),
+    )
+    between = F.get(vector_to_array("s.variance"), 0) * F.col("share")
+    per_channel = sums.select(
+        subject,
+        "ch",
+        F.get(vector_to_array("s.mean"), 0).alias("mean"),
+        F.sqrt(F.col("within") + between).alias("sd"),
     )
     stats = per_channel.groupBy(subject).agg(
         F.array_sort(F.collect_list(F.struct("ch", "mean", "sd"))).alias("_stats")

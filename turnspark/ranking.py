@@ -85,7 +85,8 @@ def order_statistics(df: DataFrame, value: str, ranks: Sequence[int]) -> list[fl
     """Exact values at 0-based ``ranks`` of a double column.
 
     Each pass counts at most BINS bins inside the interval that still holds the
-    rank; nothing larger than one bin table reaches the driver.
+    rank; nothing larger than one bin table reaches the driver. Nulls are left out; a value
+    that is not finite is an error.
     """
     bins = 2048
     out = []
@@ -97,15 +98,24 @@ def order_statistics(df: DataFrame, value: str, ranks: Sequence[int]) -> list[fl
             if low is None:
                 edge = part.agg(F.min("v"), F.max("v")).first()
                 low, high = edge[0], edge[1]
+                if not (math.isfinite(low) and math.isfinite(high)):  # NaN counts as the largest value
+                    raise ValueError(f"{value} holds values that are not finite")
             part = part.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-            width = (high - low) / bins
+            width = high / bins - low / bins
+            # Where the width underflows, fewer than BINS different values are left.
             slot = (
-                F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+                F.least(
+                    F.floor(F.col("v") / F.lit(width) - F.lit(low / width)), F.lit(bins - 1)
+                ).cast("int")
+                if width > 0 and math.isinf(high - low)
+                else F.least(
+                    F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)
+                ).cast("int")
                 if width > 0
-                else F.lit(0)
+                else F.col("v")
             )
             table = (
-                part.groupBy(slot.cast("int").alias("slot"))
+                part.groupBy(slot.alias("slot"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .orderBy("slot")
                 .collect()

@@ -14,9 +14,18 @@ from turnspark.lineage import cut_lineage
 HEADER = "id,label"  # fixed value: the exact first line of a label file
 
 
-def write_labels(df: DataFrame, path: str, order: str = "pos") -> None:
-    """Write id,label in row order as CSV parts: part names sort like the rows."""
-    ordered = df.orderBy(order).select("id", "label")
+def write_labels(
+    df: DataFrame, path: str, order: str = "pos", single_file: bool = False
+) -> None:
+    """Write id,label in row order as CSV parts: part names sort like the rows.
+
+    ``single_file`` writes one part through one task, as ``audit_labels`` expects of a label
+    file; it is meant for tables that are handed over as one file.
+    """
+    ordered = df.orderBy(order)
+    if single_file:
+        ordered = df.coalesce(1).sortWithinPartitions(order)
+    ordered = ordered.select("id", "label")
     ordered.write.mode("overwrite").option("header", True).csv(path)
 
 
