@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
@@ -75,10 +76,23 @@ def utf8(text: Column) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut batches into small ones, so that only a few whole texts are Python objects at a time."""
+    """Cut batches into small ones, so that only a few whole texts are Python objects at a time.
+
+    At the end the worker returns its free memory, as Spark keeps it for later tasks of other kinds.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    batch = None
+    return_free_memory()
+
+
+def return_free_memory() -> None:
+    """Give freed blocks of Arrow and of the C library back to the system, where these can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
