@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from turnspark.llm.tables import slices, stored
+from turnspark.llm.tables import remember, return_free_memory, slices, stored
 
 UNKNOWN = "und"
 #: Fitting bound: this many labelled texts per language are expected, drawn by a hash of the id.
@@ -277,6 +277,7 @@ def predictor(model: LanguageModel):
 
     @pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        remember("langid", _SCORERS.clear)
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = _Scorer(model)
@@ -288,6 +289,8 @@ def predictor(model: LanguageModel):
                 names += found[0]
                 best.append(found[1])
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(best) if best else np.zeros(0)})
+        part = None
+        return_free_memory()
 
     return predict
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnspark.llm.tables import keyed, slices, stored, utf8
+from turnspark.llm.tables import keyed, remember, slices, stored, utf8
 
 SEQUENCE = 4096
 END = 1  # id that closes every document
@@ -30,6 +30,11 @@ _KNOWN: dict[bytes, bytes] = {}
 _TOKENIZER: list = []
 
 
+def _forget() -> None:
+    _KNOWN.clear()
+    _TOKENIZER.clear()
+
+
 def _tokenizer(source: str):
     from tokenizers import Tokenizer
 
@@ -72,6 +77,7 @@ def pieces(docs: DataFrame, vocabulary: str, longest: int = SEQUENCE) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "place", "doc_id", "piece", "start", "length", "ids_crc32"]
         close = np.array([END], dtype="<u4").tobytes()
+        remember("packing", _forget)
         for batch in slices(batches, 128):
             owner, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(packed_ids(batch.column("text").to_pylist(), source.value)):
@@ -197,6 +203,7 @@ def _ordered(items: pd.DataFrame) -> pd.DataFrame:
 
 def _islands(capacity: int) -> Callable:
     def run(key: tuple, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+        remember("islands")
         if not len(items):
             return pd.DataFrame({"shard": [], "island": [], "genome": []})
         sizes = _ordered(items)["length"].tolist()

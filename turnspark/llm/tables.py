@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,9 @@ from turnspark.shipping import ship_package
 
 SLICE_ROWS = 256
 
+#: How to drop what each operator remembers in this worker from task to task.
+_KEPT: dict[str, Callable[[], None]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -87,6 +90,21 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     return_free_memory()
 
 
+def remember(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """Name the operator that goes on in this worker; what others remember here is dropped.
+
+    Spark hands workers on from stage to stage, and without this each would hold the memory of all stages.
+    """
+    others = [name for name in _KEPT if name != operator]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        gc.collect()
+        return_free_memory()
+    if drop is not None:
+        _KEPT[operator] = drop
+
+
 def return_free_memory() -> None:
     """Give freed blocks of Arrow and of the C library back to the system, where these can do so."""
     pa.default_memory_pool().release_unused()
