@@ -64,18 +64,18 @@ def test_standard_scale(spark):
     assert [r["z_a"] for r in rows] == [-1.0, 1.0] and [r["z_b"] for r in rows] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("kind,balance,weight", [("svc", "none", "balanced"), ("lr", "random", None)])
-def test_fit_save_load(spark, tmp_path, kind, balance, weight):
-    config = tm.TextConfig(
-        "t", kind, 1.0, weight, balance, word_range=(1, 2), char_range=(3, 4), max_iter=15
-    )
+@pytest.mark.parametrize("loss,even", [("hinge", "weights"), ("logistic", "copies")])
+def test_fit_save_load(spark, tmp_path, loss, even):
+    blocks = (tm.Grams("word", 1, 2), tm.Grams("char", 3, 4), tm.Cues())
+    recipe = tm.TextRecipe("t", blocks, tm.Linear(loss, even=(even,), rounds=15))
     data = turns(spark)
-    model = tm.fit_text_model(data, config)
+    model = tm.fit_text_model(data, recipe)
     scored = {r["id"]: (r["label"], r["score"]) for r in model.scores(data).collect()}
     hits = np.mean([(s > 0) == (y == 1) for y, s in scored.values()])
     assert hits > 0.9
     model.save(str(tmp_path / "m"))
     again = tm.TextModel.load(str(tmp_path / "m"))
+    assert again.features.recipe == recipe
     for r in again.scores(data).collect():
         assert r["score"] == pytest.approx(scored[r["id"]][1])
     profile = tm.vector_profile(model.features.transform(data.drop("label")), "features")
@@ -84,8 +84,8 @@ def test_fit_save_load(spark, tmp_path, kind, balance, weight):
 
 def test_cross_validate_and_stack(spark):
     data = turns(spark)
-    a = tm.TextConfig("a", "lr", use_char=False, use_endpoint=False, word_range=(1, 1), max_iter=10)
-    b = tm.TextConfig("b", "lr", use_word=False, use_char=False, max_iter=10)
+    a = tm.TextRecipe("a", (tm.Grams("word", 1, 1),), tm.Linear("logistic", rounds=10))
+    b = tm.TextRecipe("b", (tm.Cues(),), tm.Linear("logistic", rounds=10))
     board, oof = sw.config_sweep(data, [a, b], 3, 7)
     rows = board.collect()
     assert {r["name"] for r in rows} == {"a", "b"} and rows[0]["place"] == 1
@@ -99,6 +99,6 @@ def test_cross_validate_and_stack(spark):
 
 
 def test_a_feature_block_is_required(spark):
-    none = tm.TextConfig("n", use_word=False, use_char=False, use_endpoint=False)
+    none = tm.TextRecipe("n", ())
     with pytest.raises(ValueError):
         tm.fit_features(turns(spark), none)

@@ -125,9 +125,9 @@ def test_filter_job_keeps_band(spark):
     t = np.arange(1125) / 250.0
     mix = [np.sin(2 * np.pi * hz * t) for hz in (2, 15, 50)]
     df = spark.createDataFrame([(0, 0, [sum(mix).tolist()])], "subject int, trial long, x array<array<double>>")
-    out = np.array(tr.filter_signals(df, tr.SignalConfig()).first()["x"][0])
-    assert len(out) == 750
-    np.testing.assert_allclose(out, mix[1][125:875], atol=0.02)
+    out = np.array(tr.filter_signals(df, filters.band_without_hum(8.0, 30.0, 250.0)).first()["x"][0])
+    assert len(out) == 1125
+    np.testing.assert_allclose(out[125:875], mix[1][125:875], atol=0.02)
 
 
 def test_zscore_subject_far_from_zero(spark):

@@ -28,6 +28,12 @@ def notch(freq: float, fs: float, q: float = 30.0):
     return gain * np.array([1.0, middle, 1.0]), np.array([1.0, gain * middle, 2 * gain - 1.0])
 
 
+def band_without_hum(low: float, high: float, fs: float, hum: tuple[float, ...] = (50.0, 60.0)) -> list[tuple]:
+    """Notches at the mains frequencies below half the rate, then a band that ends 1 Hz below it at most."""
+    notches = [notch(freq, fs) for freq in hum if 2 * freq < fs]
+    return [*notches, butter_bandpass(4, low, min(high, fs / 2 - 1.0), fs)]
+
+
 def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Filter state that makes a unit step come out flat from the first sample."""
     n = len(a) - 1

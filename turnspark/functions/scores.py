@@ -58,10 +58,9 @@ def linear_score(columns: list[Column], weights: list[float], intercept: float)
     return total
 
 
-def binary_score(model_output: Column, kind: str) -> Column:
-    """Signed decision value of a margin model, else the probability of class 1."""
+def binary_score(model_output: Column) -> Column:
+    """Class 1 of a two-class output vector: the signed decision value of a raw prediction,
+    the probability of class 1 of a probability vector."""
     from pyspark.ml.functions import vector_to_array
 
-    if kind not in ("svc", "lr_margin", "lr"):
-        raise ValueError(f"unknown model kind: {kind}")
     return F.get(vector_to_array(model_output), 1)

@@ -44,26 +44,50 @@ ALL_TERMS = (1 << 31) - 1  # the largest count that the vectoriser's parameter c
 
 
 @dataclass(frozen=True)
-class TextConfig:
-    """One classifier to try. ``class_weight`` is None or ``balanced``, ``balance`` none or random.
+class Grams:
+    """A block of n-grams of ``unit`` word or char.
 
-    The vocabulary is held on the driver and shipped to tasks; ``max_features`` limits it to the
-    most frequent terms, which is left to the caller.
+    Terms occur in ``min_rows`` training rows or more. The vocabulary is held on the driver and
+    shipped to tasks; ``most`` keeps only the most frequent terms, which is left to the caller.
     """
 
+    unit: str
+    shortest: int
+    longest: int
+    min_rows: int = 2
+    most: int | None = None
+
+
+@dataclass(frozen=True)
+class Cues:
+    """The block of endpoint cues, scaled by their spread in the training rows."""
+
+    unit: str = "cues"
+
+
+@dataclass(frozen=True)
+class Linear:
+    """A linear classifier: ``loss`` hinge or logistic, ``trust`` the weight of the data against the penalty.
+
+    ``even`` names the ways to even out the classes, any of ``weights`` and ``copies``.
+    """
+
+    loss: str = "hinge"
+    trust: float = 1.0
+    even: tuple[str, ...] = ()
+    rounds: int = 50
+
+
+@dataclass(frozen=True)
+class TextRecipe:
+    """Feature blocks, at most one of each unit, and the classifier on top of them."""
+
     name: str
-    model_kind: str = "svc"
-    c_value: float = 1.0
-    class_weight: str | None = None
-    balance: str = "none"
-    use_word: bool = True
-    word_range: tuple[int, int] = (1, 3)
-    use_char: bool = True
-    char_range: tuple[int, int] = (3, 6)
-    use_endpoint: bool = True
-    min_df: int = 2
-    max_features: int | None = None
-    max_iter: int = 50
+    blocks: tuple[Grams | Cues, ...]
+    classifier: Linear = Linear()
+
+    def block(self, unit: str) -> Grams | Cues | None:
+        return next((b for b in self.blocks if b.unit == unit), None)
 
 
 def sublinear(df: DataFrame, column: str) -> DataFrame:
@@ -95,14 +119,14 @@ def sublinear(df: DataFrame, column: str) -> DataFrame:
 class TextFeatures:
     """Fitted blocks: name -> (count model, smoothed idf), and the cue scale."""
 
-    config: TextConfig
+    recipe: TextRecipe
     blocks: dict
     cue_scale: list[float] | None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the vector column ``features``; other columns stay."""
         kept = [c for c in df.columns if c != "text"]
-        out = _token_columns(spread_rows(df, *df.columns[:1]), self.config, kept)
+        out = _token_columns(spread_rows(df, *df.columns[:1]), self.recipe, kept)
         parts = []
         for name, (counter, idf) in self.blocks.items():
             counted = counter.transform(out).drop(name)
@@ -157,73 +181,70 @@ def vector_profile(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _token_columns(df: DataFrame, config: TextConfig, kept: list[str]) -> DataFrame:
-    text = clean_text(F.col("text"))
-    columns = []
-    if config.use_word:
-        columns.append(word_ngrams(text, *config.word_range).alias("word"))
-    if config.use_char:
-        columns.append(char_wb_ngrams(text, *config.char_range).alias("char"))
-    if config.use_endpoint:
-        columns.append(F.array(*endpoint_features(F.col("text"))).alias("cues"))
+def _token_columns(df: DataFrame, recipe: TextRecipe, kept: list[str]) -> DataFrame:
+    cutters = {"word": word_ngrams, "char": char_wb_ngrams}
+    columns = [
+        F.array(*endpoint_features(F.col("text"))).alias(block.unit)
+        if isinstance(block, Cues)
+        else cutters[block.unit](clean_text(F.col("text")), block.shortest, block.longest).alias(block.unit)
+        for block in recipe.blocks
+    ]
     if not columns:
         raise ValueError("a text model needs at least one feature block")
     return df.select(*kept, *columns)
 
 
-def fit_features(train: DataFrame, config: TextConfig) -> TextFeatures:
+def fit_features(train: DataFrame, recipe: TextRecipe) -> TextFeatures:
     """Vocabulary, document frequencies and cue scale of the training rows only."""
-    tokens = cut_lineage(_token_columns(spread_rows(train, *train.columns[:1]), config, []))
+    tokens = cut_lineage(_token_columns(spread_rows(train, *train.columns[:1]), recipe, []))
     blocks = {}
-    for name, used in (("word", config.use_word), ("char", config.use_char)):
-        if not used:
+    for block in recipe.blocks:
+        if not isinstance(block, Grams):
             continue
+        name = block.unit
         counter = CountVectorizer(
             inputCol=name,
             outputCol=f"{name}_c",
-            minDF=float(config.min_df),
-            vocabSize=config.max_features or ALL_TERMS,
+            minDF=float(block.min_rows),
+            vocabSize=block.most or ALL_TERMS,
         ).fit(tokens)
         seen = IDF(inputCol=f"{name}_c", outputCol="unused").fit(counter.transform(tokens))
         idf = np.log((1.0 + seen.numDocs) / (1.0 + np.array(seen.docFreq))) + 1.0
         blocks[name] = (counter, idf.tolist())
     scale = None
-    if config.use_endpoint:
+    if recipe.block("cues"):
         spread = tokens.agg(
             *[F.stddev_pop(F.get("cues", i)).alias(n) for i, n in enumerate(ENDPOINT_NAMES)]
         ).first()
         scale = [1.0 / s if s and s > 0 else 1.0 for s in spread]
-    return TextFeatures(config, blocks, scale)
+    return TextFeatures(recipe, blocks, scale)
 
 
-def _classifier(config: TextConfig, total_weight: float):
+def _solver(how: Linear, total_weight: float):
     shared = {
         "featuresCol": "features",
         "labelCol": "label",
         "weightCol": "weight",
-        "regParam": 1.0 / (config.c_value * total_weight),
+        "regParam": 1.0 / (how.trust * total_weight),
         "standardization": False,
         "fitIntercept": False,
-        "maxIter": config.max_iter,
+        "maxIter": how.rounds,
     }
-    if config.model_kind == "svc":
+    if how.loss == "hinge":
         return LinearSVC(**shared)
-    if config.model_kind == "lr":
+    if how.loss == "logistic":
         return LogisticRegression(elasticNetParam=0.0, family="binomial", **shared)
-    raise ValueError(f"unknown model kind: {config.model_kind}")
+    raise ValueError(f"unknown loss: {how.loss}")
 
 
-def fit_classifier(vectors: DataFrame, config: TextConfig):
+def fit_classifier(vectors: DataFrame, how: Linear):
     """Linear model on (label, features), balanced by weights when asked for."""
-    if config.class_weight == "balanced":
-        weighted = balanced_weights(vectors)
-    else:
-        weighted = vectors.withColumn("weight", F.lit(1.0))
+    weighted = balanced_weights(vectors) if "weights" in how.even else vectors.withColumn("weight", F.lit(1.0))
     data = cut_lineage(
         weighted.select(F.col("label").cast("double").alias("label"), "weight", "features")
     )
     total = data.agg(F.sum("weight")).first()[0]
-    return _classifier(config, total).fit(data)
+    return _solver(how, total).fit(data)
 
 
 @dataclass(frozen=True)
@@ -238,7 +259,7 @@ class TextModel:
         vectors = self.features.transform(df)
         kept = [c for c in vectors.columns if c != "features"]
         scored = self.classifier.transform(vectors.select(*kept, "features"))
-        value = binary_score(F.col("rawPrediction"), self.features.config.model_kind)
+        value = binary_score(F.col("rawPrediction"))
         return scored.select(*kept, value.alias("score"))
 
     def save(self, path: str) -> None:
@@ -249,12 +270,12 @@ class TextModel:
         for name, (counter, _) in features.blocks.items():
             counter.write().overwrite().save(f"{path}/{name}")
         row = (
-            json.dumps(asdict(features.config)),
+            json.dumps(asdict(features.recipe)),
             [(n, idf) for n, (_, idf) in features.blocks.items()],
             features.cue_scale,
         )
         schema = (
-            "config string, idf array<struct<name: string, idf: array<double>>>, "
+            "recipe string, idf array<struct<name: string, idf: array<double>>>, "
             "cue_scale array<double>"
         )
         spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/settings")
@@ -263,27 +284,31 @@ class TextModel:
     def load(cls, path: str) -> TextModel:
         spark = SparkSession.active()
         row = spark.read.parquet(f"{path}/settings").first()
-        values = json.loads(row["config"])
-        values = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
-        config = TextConfig(**values)
+        recipe = _recipe(json.loads(row["recipe"]))
         blocks = {
             e["name"]: (CountVectorizerModel.load(f"{path}/{e['name']}"), list(e["idf"]))
             for e in row["idf"]
         }
-        kind = LinearSVCModel if config.model_kind == "svc" else LogisticRegressionModel
-        features = TextFeatures(config, blocks, row["cue_scale"] and list(row["cue_scale"]))
+        kind = LinearSVCModel if recipe.classifier.loss == "hinge" else LogisticRegressionModel
+        features = TextFeatures(recipe, blocks, row["cue_scale"] and list(row["cue_scale"]))
         return cls(features, kind.load(f"{path}/classifier"))
 
 
-def fit_text_model(train: DataFrame, config: TextConfig, seed: int = 42) -> TextModel:
+def _recipe(saved: dict) -> TextRecipe:
+    blocks = tuple(Cues() if b["unit"] == "cues" else Grams(**b) for b in saved["blocks"])
+    how = saved["classifier"]
+    return TextRecipe(saved["name"], blocks, Linear(**{**how, "even": tuple(how["even"])}))
+
+
+def fit_text_model(train: DataFrame, recipe: TextRecipe, seed: int = 42) -> TextModel:
     """Fit on (id, text, label); oversampling copies enter the statistics like other rows."""
     rows = train.select("id", "text", "label")
-    if config.balance == "random":
+    if "copies" in recipe.classifier.even:
         rows = random_oversample(rows, seed).select("id", "text", "label")
     rows = cut_lineage(rows)
-    features = fit_features(rows, config)
+    features = fit_features(rows, recipe)
     vectors = features.transform(rows)
-    return TextModel(features, fit_classifier(vectors, config))
+    return TextModel(features, fit_classifier(vectors, recipe.classifier))
 
 
 def stack_oof(oof: DataFrame, models: list[str], c: float = 1.0):

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnspark.functions.filters import band_without_hum
 from turnspark.models import linear, riemann, spatial
 from turnspark.operators import ensemble as en
 from turnspark.operators import metrics as m
@@ -15,15 +15,18 @@ from turnspark.operators import trials as tr
 
 KEYS = ["subject", "trial", "y"]
 
+#: A step over the trials before windows are cut: filters, cropping, scaling.
+Prepare = Callable[[DataFrame], DataFrame]
+
 
 def aligned_windows(
-    trials: DataFrame, size: int, stride: int, config: tr.SignalConfig | None = None
+    trials: DataFrame, size: int, stride: int, prepare: Prepare | None = None
 ) -> DataFrame:
-    """Window covariances of (optionally filtered) trials, aligned per subject.
+    """Window covariances of (optionally prepared) trials, aligned per subject.
 
     A subject is aligned with its own windows only, so test subjects need no labels.
     """
-    signal = tr.filter_signals(trials, config) if config else trials
+    signal = prepare(trials) if prepare else trials
     return tr.align_by_subject(tr.window_covariances(signal, size, stride))
 
 
@@ -39,15 +42,15 @@ def align_and_classify(
     stride: int,
     n_classes: int,
     c: float = 0.1,
-    config: tr.SignalConfig | None = None,
+    prepare: Prepare | None = None,
 ) -> DataFrame:
     """Tangent-space logistic regression on aligned windows; one row per test trial."""
-    fitted = aligned_windows(train, size, stride, config)
+    fitted = aligned_windows(train, size, stride, prepare)
     reference = riemann.karcher_mean(fitted)
     model = linear.fit_multinomial(
         riemann.tangent_features(fitted, reference), c=c, label="y"
     )
-    held = riemann.tangent_features(aligned_windows(test, size, stride, config), reference)
+    held = riemann.tangent_features(aligned_windows(test, size, stride, prepare), reference)
     return vote(linear.logistic_probs(held, model), n_classes)
 
 
@@ -57,7 +60,7 @@ def signal_windows(
     stride: int,
     score: Callable[[DataFrame], DataFrame],
     n_classes: int,
-    config: tr.SignalConfig | None = None,
+    prepare: Prepare | None = None,
 ) -> DataFrame:
     """Raw-signal variant: whiten per subject, cut, scale each window, score, vote.
 
@@ -66,7 +69,7 @@ def signal_windows(
     """
     from turnspark.functions.signals import zscore_rows
 
-    signal = tr.filter_signals(trials, config) if config else trials
+    signal = prepare(trials) if prepare else trials
     white = tr.whiten_by_subject(signal, tr.whitening_by_subject(signal))
     windows = tr.sliding_windows(white, size, stride)
     return vote(score(windows.withColumn("x", zscore_rows(F.col("x")))), n_classes)
@@ -84,7 +87,7 @@ def leave_one_subject_out_mdm(
 def band_sweep(
     trials: DataFrame,
     bands: Mapping[str, tuple[float, float]],
-    base: tr.SignalConfig,
+    fs: float,
     fit_and_score: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """The same workflow per frequency band, ranked by accuracy.
@@ -93,8 +96,7 @@ def band_sweep(
     """
     results = None
     for name, (low, high) in bands.items():
-        config = replace(base, band_low=low, band_high=high)
-        scored = fit_and_score(tr.filter_signals(trials, config))
+        scored = fit_and_score(tr.filter_signals(trials, band_without_hum(low, high, fs)))
         part = m.accuracy(scored, (), "y", "pred").withColumn("name", F.lit(name))
         results = part if results is None else results.unionByName(part)
     return en.leaderboard(results, "accuracy")

@@ -136,18 +136,17 @@ BANDS = {"alpha": (8, 13), "beta": (13, 30), "broad": (4, 40), "high_gamma": (70
 @query("band_sweep")
 def band_sweep_query(spark, sf_dir):
     """Two channels of 32 samples; minimum distance to mean within each band."""
-    base = tr.SignalConfig(crop_start=0, crop_end=32)
 
     def fit_and_score(trials):
         return al.leave_one_subject_out_mdm(trials, 16, 8, range(4), range(10))
 
-    return al.band_sweep(v.trials(spark, sf_dir, channels=2), BANDS, base, fit_and_score)
+    return al.band_sweep(v.trials(spark, sf_dir, channels=2), BANDS, 250.0, fit_and_score)
 
 
 @query("xdawn_covariances")
 def xdawn_cov_query(spark, sf_dir):
     windows = tr.sliding_windows(v.trials(spark, sf_dir), SIZE, STRIDE)
-    covs = spatial.xdawn_covariances(windows, spatial.fit_xdawn(windows, "y", 2))
+    covs = spatial.xdawn_covariances(windows, spatial.fit_xdawn(windows, "y", 4))
     return covs.select("trial", "w", F.transform("cov", lambda x: F.round(x, 6)).alias("cov"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnspark.functions import signals
+from turnspark.functions.filters import band_without_hum
 from turnspark.operators import trials as tr
 from turnspark.queries import views as v
 from turnspark.queries.registry import query
@@ -222,8 +223,8 @@ def pooled_query(spark, sf_dir):
 @query("filter_signals")
 def filter_query(spark, sf_dir):
     """Two channels of 32 samples at 250 Hz: notch, band-pass, crop."""
-    config = tr.SignalConfig(crop_start=2, crop_end=30)
-    out = tr.filter_signals(v.trials(spark, sf_dir, channels=2), config)
+    out = tr.filter_signals(v.trials(spark, sf_dir, channels=2), band_without_hum(8.0, 30.0, 250.0))
+    out = out.withColumn("x", signals.crop(F.col("x"), 2, 30))
     return long_form(out, ["trial"])
 
 
