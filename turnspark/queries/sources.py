@@ -11,6 +11,8 @@ from turnspark.operators.splits import stratified_holdout
 from turnspark.queries import views as v
 from turnspark.queries.metrics import PROB_GRID, sql_class_scores, sql_sweep
 from turnspark.queries.registry import query
+from turnspark.ranking import position_rows
+from turnspark.sources import labels as lb
 from turnspark.sources import scores as st
 from turnspark.sources.trials import load_trials
 from turnspark.sources.turns import read_turns, standardize_turns
@@ -95,3 +97,39 @@ def store_query(spark, sf_dir):
         F.round(c, 6).alias(c) for c in ("raw_macro_f1", "threshold", "threshold_macro_f1")
     ]
     return out.select("experiment", "seed", *rounded, "valid_count", "test_count")
+
+
+def written_labels(spark, sf_dir) -> str:
+    """Folder of a label file with every labelled document, in id order."""
+    path = f"{ensure_checkpoint_dir(spark)}/labels-{uuid.uuid4().hex}"
+    rows = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    lb.write_labels(rows, path, "id", single_file=True)
+    return path
+
+
+@query(
+    "label_round_trip",
+    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id::VARCHAR AS id,
+       quality::VARCHAR AS label FROM labels""",
+)
+def round_trip_query(spark, sf_dir):
+    """Written as one file and read back with positions."""
+    rows = lb.read_label_files(spark, written_labels(spark, sf_dir))
+    return rows.where("not is_first").select("pos", "id", "label")
+
+
+@query(
+    "audit_labels",
+    """SELECT 'OK' AS status, count(*) AS n_rows, count(*) FILTER (quality = 0) AS class0,
+       count(*) FILTER (quality = 1) AS class1, 0 AS unexpected_ids, 0 AS duplicate_ids,
+       0 AS wrong_positions, 0 AS bad_labels, 0 AS missing_ids FROM labels""",
+)
+def audit_query(spark, sf_dir):
+    """The written file against the positions it should have."""
+    ids = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    expected = position_rows(ids, [F.col("id")], "pos")
+    audit = lb.audit_labels(spark, written_labels(spark, sf_dir), expected, (0, 1))
+    return audit.select(
+        "status", "n_rows", "class0", "class1", "unexpected_ids", "duplicate_ids",
+        "wrong_positions", "bad_labels", "missing_ids",
+    )

@@ -96,28 +96,35 @@ def weights_query(spark, sf_dir):
     return weighted.select("id", "label", F.round("weight", 6).alias("weight"))
 
 
-SQL_OVERSAMPLE = f"""
+def sql_oversample(id_type: str) -> str:
+    return f"""
 sizes AS (SELECT label, count(*) AS n FROM t GROUP BY label),
 big AS (SELECT label FROM sizes ORDER BY n DESC, label LIMIT 1),
 major AS (SELECT t.* FROM t JOIN big USING (label)),
 minor AS (SELECT t.*, row_number() OVER (ORDER BY {HASH}, id) AS rank FROM t
           WHERE label NOT IN (SELECT label FROM big)),
-draws AS (SELECT id AS draw_id, 1 + ('0x' || substr(md5('{S}:draw:' || id), 1, 8))::BIGINT
+draws AS (SELECT id AS draw_id, 1 + ('0x' || substr(md5('{S}:draw:' || id), 1, 15))::BIGINT
           % (SELECT count(*) FROM minor) AS rank FROM major),
-balanced AS (SELECT id, label, NULL::BIGINT AS draw_id FROM major UNION ALL
+balanced AS (SELECT id, label, NULL::{id_type} AS draw_id FROM major UNION ALL
              SELECT m.id, m.label, d.draw_id FROM draws d JOIN minor m USING (rank))
-"""
+SELECT *, md5('{S}:shuffle:' || id || ':' || coalesce(draw_id::VARCHAR, '-1')) AS shuffle_key FROM balanced"""
 
 
-@query(
-    "random_oversample",
-    f"""WITH {LABELS}, {SQL_OVERSAMPLE} SELECT *,
-        md5('{S}:shuffle:' || id || ':' || coalesce(draw_id, -1)) AS shuffle_key FROM balanced""",
-)
+@query("random_oversample", f"WITH {LABELS}, {sql_oversample('BIGINT')}")
 def oversample_query(spark, sf_dir):
     return balance.random_oversample(labels(spark, sf_dir), S)
 
 
+@query(
+    "random_oversample_text_ids",
+    f"""WITH t AS (SELECT 'turn-' || doc_id AS id, quality AS label FROM labels), {sql_oversample('VARCHAR')}""",
+)
+def oversample_text_query(spark, sf_dir):
+    """Ids that are not numbers."""
+    named = labels(spark, sf_dir).withColumn("id", F.concat(F.lit("turn-"), F.col("id").cast("string")))
+    return balance.random_oversample(named, S)
+
+
 @query(
     "oversample_per_fold",
     f"""WITH {LABELS},
@@ -141,11 +148,41 @@ def oversample_folds_query(spark, sf_dir):
     return out.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mixup")
-def mixup_query(spark, sf_dir):
+def mixed(spark, sf_dir):
     flat = v.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         (F.col("label") % 4).alias("y"),
         F.col("embedding").cast("array<double>").alias("x"),
     )
-    return balance.mixup(flat, 32, 0.2, S)
+    return flat, balance.mixup(flat, 32, 0.2, S)
+
+
+@query("mixup")
+def mixup_query(spark, sf_dir):
+    return mixed(spark, sf_dir)[1]
+
+
+@query(
+    "mixup_pairs",
+    f"""WITH r AS (SELECT vec_id AS id, label % 4 AS y,
+          row_number() OVER (ORDER BY md5('{S}:' || vec_id), vec_id) - 1 AS place FROM embeddings),
+    slots AS (SELECT id, y, place // 32 AS batch, place % 32 AS slot,
+          least(32, (SELECT count(*) FROM r) - 32 * (place // 32)) AS held FROM r),
+    wanted AS (SELECT *, (slot + ('0x' || substr(md5('{S}:shift:' || batch), 1, 15))::BIGINT % held)
+          % held AS want FROM slots)
+    SELECT w.id, p.id AS partner_id, w.batch, w.y AS y_a, p.y AS y_b, 1 AS shares_in_batch,
+      true AS blended FROM wanted w JOIN slots p ON w.batch = p.batch AND w.want = p.slot""",
+)
+def mixup_pairs_query(spark, sf_dir):
+    """Partners, and whether every row is its batch's share of itself and the rest of its partner."""
+    flat, out = mixed(spark, sf_dir)
+    shares = out.groupBy("batch").agg(F.count_distinct("lam").alias("shares_in_batch"))
+    own = flat.select("id", F.col("x").alias("a"))
+    other = flat.select(F.col("id").alias("partner_id"), F.col("x").alias("b"))
+    rows = out.join(own, "id").join(other, "partner_id").join(shares, "batch")
+    parts = F.zip_with("a", "b", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)
+    near = F.zip_with("x", parts, lambda got, want: F.abs(got - want) < 1e-12)
+    return rows.select(
+        "id", "partner_id", "batch", "y_a", "y_b", "shares_in_batch",
+        (F.forall(near, lambda ok: ok) & F.col("lam").between(0, 1)).alias("blended"),
+    )

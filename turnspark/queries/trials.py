@@ -75,6 +75,18 @@ def zscore_subject_query(spark, sf_dir):
     return long_form(tr.zscore_subject(v.trials(spark, sf_dir)), ["trial"], 5)
 
 
+@query(
+    "zscore_subject_offset",
+    f"""WITH {v.SQL_SAMPLES}, far AS (SELECT trial, subject, ch, t, floor(v * 1024) / 1024 + 1048576 AS v FROM samples)
+        SELECT trial, ch, t, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6), 3) AS v FROM far
+        WINDOW w AS (PARTITION BY subject, ch)""",
+)
+def zscore_offset_query(spark, sf_dir):
+    """Signals a million times farther from zero than from each other, on a grid that sums exactly."""
+    far = F.transform("x", lambda ch: F.transform(ch, lambda s: F.floor(s.cast("double") * 1024) / 1024 + 1048576.0))
+    return long_form(tr.zscore_subject(v.trials(spark, sf_dir).withColumn("x", far)), ["trial"], 3)
+
+
 @query(
     "sliding_windows",
     f"""WITH {v.SQL_WINDOWS} SELECT trial, y, CAST(start // 2 AS INT) AS w, start, ch,

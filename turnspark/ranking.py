@@ -21,8 +21,8 @@ def seeded_hash(seed: object, *ids: Column) -> Column:
 
 
 def hash_int(digest: Column) -> Column:
-    """First 32 bits of a hex digest as a non-negative long."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of a hex digest as a non-negative long: remainders reach every row of any table."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def hash_rank(
