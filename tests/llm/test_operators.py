@@ -112,6 +112,54 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+own = random.Random(11)  # the others' draws stay as they are
+
+
+def prose(n):
+    return " ".join(own.choice(VOCABULARY) for _ in range(n))
+
+
+def leaked(spark, texts, items):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench).collect())
+
+
+def test_leaks_of_an_item_in_a_third_of_the_rows(spark):
+    ship_package(spark)
+    item, other = prose(40), prose(40)
+    texts = [prose(8) + " " + item + " " + prose(8) if i % 3 == 0 else prose(56) for i in range(90)]
+    assert leaked(spark, texts, [item, other]) == [(i, 0) for i in range(0, 90, 3)]
+
+
+def test_two_leaks_among_a_dozen_passages(spark):
+    ship_package(spark)
+    item = prose(40)
+    assert leaked(spark, [prose(10) + " " + item if i in (4, 9) else prose(50) for i in range(12)], [item]) == [(4, 0), (9, 0)]
+
+
+def test_leaks_of_a_long_item(spark):
+    ship_package(spark)
+    item = " ".join(f"w{i}" for i in range(1000))
+    near = " ".join("other" if i % 6 == 0 else w for i, w in enumerate(item.split()))
+    texts = [prose(200), prose(70) + " " + item + " " + prose(300), near, prose(1500)]
+    assert leaked(spark, texts, [item, prose(40)]) == [(1, 0), (2, 0)]
+
+
+def test_a_common_item_is_found_among_rare_words(spark):
+    ship_package(spark)
+    item, rare = prose(40), [" ".join(f"q{k}x{i}" for i in range(24)) for k in range(30)]
+    texts = [rare[k] + " " + item + " " + rare[k] for k in range(30)]
+    found = leaked(spark, texts, [item, *(r + " tail" for r in rare)])
+    assert [d for d, i in found if i == 0] == list(range(30))
+
+
+def test_passages_keep_every_word():
+    for n in (1, 64, 65, 96, 97, 1000):
+        parts = decontaminate._passages(np.arange(n))
+        assert len(parts) == decontaminate.n_passages(n) and np.concatenate(parts).tolist() == list(range(n))
+
+
 def test_subsequence():
     for _ in range(200):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in "ab")

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from turnspark.llm.tables import from_files, keyed, slices, utf8
 from turnspark.llm.words import folded_words, parse
 
-BLOCK_ITEMS = 256  # benchmark items of one search; more items are searched block by block
+BLOCK_ITEMS = 256  # item passages of one search; more are searched block by block, a longer item in a block of its own
 TILE = 64  # words of a passage
 HOP = 32
-COMMON = 0.1  # words in a larger share of the passages carry no weight
+RUN = 8  # words of a passage that lead to it where they stand unchanged
+COMMON = 0.1  # words in a larger share of the passages are left out of the subsequence, if enough others are there
 EXTRA = 32  # latent dimensions beyond one per item
 COSINE = 0.35
 SUBSEQUENCE = 0.6
@@ -36,6 +37,8 @@ class Items:
     ids: list[int]
     vocabulary: np.ndarray  # sorted word hashes
     words: list[np.ndarray]  # places in the vocabulary
+    passages: list[np.ndarray]  # the words again, TILE at a time
+    owner: np.ndarray  # the item of each passage
     answers: list[np.ndarray]  # the words of each item's last sentence
 
 
@@ -52,7 +55,19 @@ def read_items(rows: list) -> Items:
     for _, text in texts:
         sentences = [s for s in re.split(r"[.?!\n]+", text) if folded_words(s.encode())]
         answers.append(np.unique(np.searchsorted(vocabulary, _hashes(sentences[-1].encode()))))
-    return Items([i for i, _ in texts], vocabulary, [np.searchsorted(vocabulary, h) for h in hashes], answers)
+    words = [np.searchsorted(vocabulary, h) for h in hashes]
+    cuts = [_passages(w) for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(c) for c in cuts])
+    return Items([i for i, _ in texts], vocabulary, words, [x for c in cuts for x in c], owner, answers)
+
+
+def n_passages(words: int) -> int:
+    """Passages of an item; a rest of up to half a passage belongs to the last one."""
+    return max(1, (words + TILE // 2 - 1) // TILE)
+
+
+def _passages(words: np.ndarray) -> list[np.ndarray]:
+    return np.split(words, [TILE * i for i in range(1, n_passages(len(words)))])
 
 
 class Terms:
@@ -116,7 +131,7 @@ def _basis(rows: DataFrame, items: Items, weights: np.ndarray, tiles: int) -> np
     rows, A'(A S) for a random S; the sums are added by Spark and only one vocabulary x
     dimensions matrix, bounded by the block of items, is made orthonormal on the driver.
     """
-    size = len(items.ids) + EXTRA
+    size = min(len(items.passages) + EXTRA, len(weights))
     start = np.random.default_rng(SEED).standard_normal((len(weights), size)).astype(np.float32)
     vocabulary = items.vocabulary
 
@@ -125,7 +140,6 @@ def _basis(rows: DataFrame, items: Items, weights: np.ndarray, tiles: int) -> np
         for _, owner, number, term in _documents(batches, terms):
             tile = _tiles(owner, number)
             known = term >= 0
-            known[known] = weights[term[known]] > 0
             keys, times = np.unique(tile[known] * len(weights) + term[known], return_counts=True)
             for low in range(0, len(keys), BLOCK_KEYS):  # small enough for the processor's cache; a passage cut in two counts as two
                 _add_product(keys[low : low + BLOCK_KEYS], times[low : low + BLOCK_KEYS], weights, start, total)
@@ -147,7 +161,7 @@ def _basis(rows: DataFrame, items: Items, weights: np.ndarray, tiles: int) -> np
     for row in parts.groupBy("slot").applyInArrow(add, "term long, row array<float>").toLocalIterator():
         product[row["term"]] = row["row"]
     queries = _item_rows(items, weights)
-    product += max(1.0, tiles / max(1, len(items.ids))) * queries.T @ (queries @ start)
+    product += max(1.0, tiles / max(1, len(items.passages))) * queries.T @ (queries @ start)
     basis, _ = np.linalg.qr(product)
     return basis
 
@@ -167,7 +181,8 @@ def _add_product(keys: np.ndarray, times: np.ndarray, weights: np.ndarray, start
 
 
 def _item_rows(items: Items, weights: np.ndarray) -> np.ndarray:
-    rows = np.stack([np.bincount(w, minlength=len(weights)) * weights for w in items.words]).astype(np.float64)
+    """A row for each passage of the items."""
+    rows = np.stack([np.bincount(w, minlength=len(weights)) * weights for w in items.passages]).astype(np.float64)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
@@ -184,11 +199,51 @@ def subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - rest.bit_count()
 
 
-def _search(items: Items, weights: np.ndarray, latent: np.ndarray, cosine: float):
-    """Task function: leaks of each document among the passages whose latent cosine is high enough."""
+class Runs:
+    """Where the heaviest RUN words of each item passage (all words of a shorter one) stand unchanged in a text."""
+
+    def __init__(self, items: Items, weights: np.ndarray):
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
+        for passage, words in enumerate(items.passages):
+            n = min(RUN, len(words))
+            total = np.r_[0.0, np.cumsum(weights[words])]
+            start = int(np.argmax(total[n:] - total[:-n]))
+            found.setdefault(n, []).append((int(_run_keys(words[start : start + n], n)[0]), passage))
+        for n, pairs in found.items():
+            pairs.sort()
+            self.by_length[n] = np.array([k for k, _ in pairs], dtype=np.uint64), np.array([p for _, p in pairs])
+
+    def __call__(self, owner: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(passage, first word, end) of each place; equal keys of other words only add candidates."""
+        for n, (keys, passages) in self.by_length.items():
+            if len(term) < n:
+                continue
+            unknown = np.r_[0, np.cumsum(term < 0)]
+            start = np.nonzero((unknown[n:] == unknown[:-n]) & (owner[n - 1 :] == owner[: len(owner) - n + 1]))[0]
+            if not len(start):
+                continue
+            here = _run_keys(term, n)[start]
+            low, high = (np.searchsorted(keys, here, side=side) for side in ("left", "right"))
+            for i in np.nonzero(high > low)[0].tolist():
+                for passage in passages[low[i] : high[i]].tolist():
+                    yield passage, int(start[i]), int(start[i]) + n
+
+
+def _run_keys(term: np.ndarray, n: int) -> np.ndarray:
+    """A key for each run of n words."""
+    out = np.zeros(len(term) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + term[i : i + len(out)].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _search(items: Items, weights: np.ndarray, common: np.ndarray, latent: np.ndarray, cosine: float):
+    """Task function: leaks of each document among the passages whose latent cosine is high enough or that hold a run."""
     size = len(weights)
     best = np.maximum(latent.max(axis=1), 0)
-    content = [[int(w) for w in words if weights[w] > 0] for words in items.words]
+    first = np.searchsorted(items.owner, np.arange(len(items.ids)))  # passage of each item
+    content = [[int(w) for w in words if not common[w]] for words in items.words]
     content = [c if len(c) >= 4 else [int(w) for w in words] for c, words in zip(content, items.words)]
 
     def windows(owner: np.ndarray, number: np.ndarray, value: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +269,20 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, cosine: float
         edge = np.nonzero(np.r_[True, window[1:] != window[:-1]])[0]
         norm = np.sqrt(np.add.reduceat(value * value, edge))
         scores = np.add.reduceat(latent[some] * value[:, None], edge, axis=0) / norm[:, None]
+        if len(first) < scores.shape[1]:
+            scores = np.maximum.reduceat(scores, first, axis=1)
         hit, item = np.nonzero(scores >= cosine)
         return list(zip(window[edge][hit].tolist(), item.tolist(), scores[hit, item].tolist()))
 
+    def cosine_at(term: np.ndarray, passage: int) -> float:
+        """Latent cosine of one passage of a text."""
+        some, times = np.unique(term[term >= 0], return_counts=True)
+        value = times * weights[some]
+        return float(latent[some, passage] @ value / np.linalg.norm(value))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(items.vocabulary)
+        runs = Runs(items, weights)
         table = np.append(weights, 0.0)
         top = np.append(best * weights, 0.0)
         for batch, owner, number, term in _documents(batches, terms):
@@ -233,6 +297,12 @@ def _search(items: Items, weights: np.ndarray, latent: np.ndarray, cosine: float
                 for window, item, score in scored(term[used], lows[at], highs[at]):
                     place = block + window
                     check(found, item, score, int(begin[place]), int(end[place]), owner, number, term)
+            latent_hits = set(found)
+            for passage, low, high in runs(owner, term):
+                item = int(items.owner[passage])
+                if (int(owner[low]), item) not in latent_hits:
+                    stop = low + int(np.searchsorted(owner[low : low + TILE], owner[low], side="right"))
+                    check(found, item, cosine_at(term[low:stop], passage), low, high, owner, number, term)
             if found:
                 rows = list(found.items())
                 arrays = [batch.column(c).take(pa.array([k[0] for k, _ in rows], pa.int64())) for c in ("file", "place", "doc_id")]
@@ -271,35 +341,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     ``first_word`` and ``last_word`` (places of the item's words nearby). Words are runs of digits,
     letters and characters beyond ASCII of the lower-cased text. Null and empty texts hold nothing, items
     without a word are in no document, repeated rows and items are all reported. All passages of
-    all documents are searched; the benchmark is taken in blocks of BLOCK_ITEMS, so what the
-    driver and a task hold of it is bounded.
+    all documents are searched: those of a high latent cosine with a passage of an item, and those that
+    hold a run of RUN words of it unchanged, however common its words are. The benchmark is taken
+    in blocks of BLOCK_ITEMS passages, so what the driver and a task hold of it is bounded, but for an item
+    that is longer by itself.
     """
     spark = docs.sparkSession
     rows = keyed(docs).select("file", "place", F.col("row.doc_id").cast("bigint").alias("doc_id"), utf8(F.lower(F.col("row.text").cast("string"))).alias("text"))
     out = spark.createDataFrame([], LEAK)
     block: list = []
+    held = 0  # passages of the block
     given = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     for row in [*given.orderBy("item_id", "text").toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == BLOCK_ITEMS):
+        more = n_passages(len(folded_words((row["text"] or "").encode()))) if row is not None else 0
+        if block and (row is None or held + more > BLOCK_ITEMS):
             items = read_items(block)
-            block = []
+            block, held = [], 0
             if items.ids:
                 out = out.union(_block_leaks(rows, items, cosine))
+        if row is not None:
+            block.append(row)
+            held += more
     return out
 
 
+def _weights(counts: np.ndarray, tiles: int) -> np.ndarray:
+    """Smoothed inverse frequency, from log 2 on for a word of all passages."""
+    return np.log1p((tiles + 1) / (counts + 1))
+
+
 def _block_leaks(rows: DataFrame, items: Items, cosine: float) -> DataFrame:
     text = rows.select("text")
     tiles, counts = _counts(text, items.vocabulary)
-    weights = np.where(counts <= max(1, COMMON * tiles), np.log((tiles + 1) / (counts + 1)) + 1e-3, 0.0)
+    weights = _weights(counts, tiles)
     basis = _basis(text, items, weights, tiles)
     queries = _item_rows(items, weights)
     seen = queries @ basis
     seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)
     latent = (basis @ seen.T).astype(np.float32)
-    return rows.mapInArrow(_search(items, weights, latent, cosine), LEAK)
+    return rows.mapInArrow(_search(items, weights, counts > max(1, COMMON * tiles), latent, cosine), LEAK)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
