@@ -99,6 +99,31 @@ def test_repeated_lines(docs, none, monkeypatch, limits):
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_repeated_short_lines(spark):
+    ship_package(spark)
+    one = random.Random(3)
+    menu = ["Home", "home", "About us", "us about", "Read more", "Terms of use", "a b c d", "A  b\tc d", "a b c d e", "b", "b b b b b b", "", " \t"]
+    some = ["\n".join(" ".join(one.choice("abcdefg") for _ in range(one.randint(0, 9))) for _ in range(4)) for _ in range(60)]
+    texts = ["\n".join(menu), "\n".join(reversed(menu)), *some, "Home\nsomething else"]
+    seen, want = [], []
+    for text in texts:
+        gone = []
+        for number, line in enumerate(text.lower().split("\n")):
+            words = frozenset(line.split())
+            if words:
+                if any(len(words & x) >= 0.8 * len(words | x) for x in seen):
+                    gone.append(number)
+                seen.append(words)
+        want.append(gone)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [list(r["removed"]) for r in line_dedup.line_report(rows).orderBy("doc_id").collect()] == want
+
+
+def test_words_with_one_token_value_are_told():
+    line, hashes = np.array([0, 0, 1, 1, 2, 2]), np.array([5, 5, 5, 6, 5, 7], dtype=np.uint64)
+    assert line_dedup._merged(line, hashes, np.array([1, 1, 2])).tolist() == [False, True, False]
+
+
 def test_leaks(spark, docs, none):
     item = sentence(40)
     half = item.split()
