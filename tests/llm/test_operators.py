@@ -311,6 +311,22 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, labelled.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
+def test_suffixes_of_all_labelled_urls(spark):
+    rows = [(f"http://{chr(97 + k // 26)}{chr(97 + k % 26)}.io/{i}", k % 2) for k in range(40) for i in range(10)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    suffixes, *_ = url_filter.fit(labelled, sample=50)
+    assert suffixes.count() == 40
+    assert {round(r["suffix_share"], 6) for r in suffixes.collect()} == {round(10 / 30, 6), round(20 / 30, 6)}
+
+
+def test_an_unseen_suffix_counts_as_the_mean(spark):
+    rows = [(f"http://{'aa' if i % 5 else 'bb'}.io/{i}", int(i % 5 > 0)) for i in range(100, 300)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame([(1, "http://aa.io/150"), (2, "http://bb.io/150"), (3, "http://cc.io/150")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labelled).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_licences(docs, none):
     got = {r["n_words"]: r for r in license_scan.scan(docs).collect()}
     row = got[7]

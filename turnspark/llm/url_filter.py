@@ -74,27 +74,30 @@ def parted(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, GBTClassificationModel | None]:
-    """Smoothed block share of each suffix, and the trees, from ``url`` and ``label`` (1 is block).
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float, GBTClassificationModel | None]:
+    """Smoothed block share of each suffix, the share of all rows, and the trees, from ``url`` and ``label`` (1 is block).
 
-    About ``sample`` rows, picked by a hash of the URL, are used. Without rows of both labels
-    there is no model and nothing is blocked by it.
+    The shares are those of all labelled rows. The trees are fitted to about ``sample`` rows, picked by a hash of
+    the URL. Without rows of both labels among them there is no model and nothing is blocked by it.
     """
     given = labelled.where("label is not null").select("url", F.col("label").cast("double").alias("label"))
-    n = given.count()
-    draw = F.pmod(F.xxhash64(F.lit("url"), "url"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))
+    counted = given.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix")).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n"))
+    counted = stored(counted, "suffixes")
+    n, blocked = counted.agg(F.sum("n"), F.sum("blocked")).first()
+    mean = blocked / n if n else 0.0
+    suffixes = counted.select("suffix", ((F.col("blocked") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("suffix_share"))
+    draw = F.pmod(F.xxhash64(F.lit("url"), "url"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n or 0)))
     rows = stored(lexical(parted(given.where(draw))), "urls")
-    mean = rows.agg(F.avg("label")).first()[0] or 0.0
-    suffixes = rows.groupBy("suffix").agg(((F.sum("label") + PRIOR * mean) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_share"))
-    suffixes = stored(suffixes, "suffixes")
-    if not 0 < mean < 1:
-        return suffixes, None
+    least, most = rows.agg(F.min("label"), F.max("label")).first()
+    if least == most:
+        return suffixes, mean, None
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, maxBins=64)
     train = _assembled(rows, suffixes, mean).select("features", "label")
-    return suffixes, trees.fit(train)
+    return suffixes, mean, trees.fit(train)
 
 
 def _assembled(rows: DataFrame, suffixes: DataFrame, mean: float) -> DataFrame:
+    """Adds the features as a vector; a suffix without labelled rows has the share of all rows."""
     joined = rows.join(suffixes, "suffix", "left").fillna({"suffix_share": mean})
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)
 
@@ -105,13 +108,13 @@ def judge(urls: DataFrame, labelled: DataFrame, rules: dict[str, str] = RULES, s
     ``urls`` has ``page_id`` and ``url``. The longest fitting rule decides; other URLs are blocked if the trees
     give block more than half. Null URLs have an empty host and path; repeated rows get equal results.
     """
-    suffixes, model = fit(labelled, sample)
+    suffixes, mean, model = fit(labelled, sample)
     rows = lexical(parted(urls.select("page_id", F.col("url").cast("string").alias("url"))))
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         rows = rows.withColumn("score", F.lit(0.0))
     else:
-        rows = model.transform(_assembled(rows, suffixes, 0.0)).withColumn("score", vector_to_array("probability")[1])
+        rows = model.transform(_assembled(rows, suffixes, mean)).withColumn("score", vector_to_array("probability")[1])
     known = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     verdict = F.when(F.col("rule").isNotNull(), known[F.col("rule")]).otherwise(F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
