@@ -13,12 +13,15 @@ from turnspark.llm import (
     license_scan,
     line_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash,
     url_filter,
+    vector_codes,
     warc,
 )
+from turnspark.llm import sql as twins
 from turnspark.llm.registry import QUERIES, SQL, query
 from turnspark.llm.tables import table
 
@@ -93,4 +96,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op12_conversation_prefix_trie", twins.PREFIX_TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all rebuilt conversations."""
+    turns = prefix_trie.rebuilt(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns).drop("path", "parent")
+
+
+@query("op13_vector_code_compression", twins.VECTOR_CODES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 __all__ = ["QUERIES", "SQL"]
