@@ -10,8 +10,8 @@ from turnspark.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_eleven_queries():
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_registered_queries():
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
 
 

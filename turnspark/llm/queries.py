@@ -12,6 +12,7 @@ from turnspark.llm import (
     langid,
     license_scan,
     line_dedup,
+    ngram_join,
     packing,
     prefix_trie,
     quality_rules,
@@ -96,6 +97,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op11_ngram_jaccard_join", twins.NGRAM_JOIN)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("file", "place")
+
+
 @query("op12_conversation_prefix_trie", twins.PREFIX_TRIE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie over all rebuilt conversations."""
