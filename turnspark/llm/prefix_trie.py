@@ -46,7 +46,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"),
     )
     order = W.partitionBy("conv_id").orderBy(F.col("at").asc_nulls_first(), "turn")
-    return slim.select("conv_id", F.row_number().over(order).alias("pos"), "turn", "words")
+    return stored(slim.select("conv_id", F.row_number().over(order).alias("pos"), "turn", "words"), "turns")
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:
