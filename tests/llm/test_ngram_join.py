@@ -130,3 +130,17 @@ def test_a_group_is_ruled_out_by_its_union():
     assert group.similar(sets[0], 80) == [0] and group.similar(np.arange(5, 13, dtype=np.uint64), 80) == [1]
     assert group.similar(np.arange(3, 13, dtype=np.uint64), 80) == []  # the union holds all of it, no member does
     assert group.similar(np.arange(40, 50, dtype=np.uint64), 80) == []
+
+
+def test_runs_across_batches():
+    import numpy as np
+
+    token = np.array([1, 2, 2, *[3] * 200, 4, 5, 5])
+    rows = [token, np.arange(len(token)), np.full(len(token), 9), np.zeros(len(token), dtype=np.int64)]
+    for size in (1, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(r[i : i + size]) for r in rows], names=["token", "member", "n", "place"])
+                   for i in range(0, len(token), size)]
+        out = pa.Table.from_batches(list(nj._shared(iter(batches)))).to_pylist()
+        assert [r["member"] for r in out] == [i for i, t in enumerate(token) if t not in (1, 4)]
+        assert [r["centre"] for r in out if r["token"] == 3] == [None] * nj.LONG + [3] * (200 - nj.LONG)
+        assert all(r["centre"] is None for r in out if r["token"] != 3)

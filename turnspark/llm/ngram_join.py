@@ -23,6 +23,8 @@ COUNTERS = 1 << 18  # shingle counters of the rarity order; any total order give
 MEMBERS = 64  # of a group, one bit each
 GROUP_TOKENS = 1 << 18  # tokens at which a group takes no further member
 QUERIES = 512  # of an opened group in one task
+LONG = 64  # rows of a token's run after which a row is first compared with the run's first one
+PRODUCT_ROWS = 4096  # tokens of a group that are counted between its members at once
 SEEN = 1 << 18  # sets that a task remembers to skip its own repeats
 MAP_BITS = (16, 27)  # smallest and largest bitmap of wanted sets, as powers of two
 KEY_DIGITS = 15  # hex digits of a set's digest that its bitmap key is made of
@@ -141,40 +143,62 @@ def _prefixes(steps: np.ndarray, percent: int) -> Callable:
     return emit
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a group may be similar to another one, by the tokens that their prefixes share."""
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, code, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    code, owner = (new[code][count[code] > 1], owner[count[code] > 1])
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    shared = np.zeros((len(tokens), len(tokens)))
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, PRODUCT_ROWS):
+        a, b = np.searchsorted(code, [low, low + PRODUCT_ROWS])
+        met = np.zeros((PRODUCT_ROWS, len(tokens)), dtype=np.float32)
+        met[code[a:b] - low, owner[a:b]] = 1
+        shared += met.T @ met
+    n, m = sizes[:, None], sizes[None, :]
+    may = shared + np.maximum(least_shared(n, percent), least_shared(m, percent)) - 1
+    fits = (shared > 0) & ((100 + percent) * may >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    np.fill_diagonal(fits, False)
+    return fits.any(axis=1)
+
+
+def _grouped(percent: int) -> Callable:
     """Number the sets, sorted by their rarest tokens, in groups of up to MEMBERS neighbours.
 
-    ``member`` is the group's number and the place in it; ``mates`` tells whether a token is shared inside the group.
+    ``member`` is the group's number and the place in it; ``mates`` tells whether it may have a similar set inside the group.
     """
-    number = TaskContext.get().partitionId() << 27  # groups of a partition
-    held: list[tuple[str, int, bytes]] = []
-    total, last = 0, None
-
-    def group() -> pa.RecordBatch:
-        arrays = [np.frombuffer(t, dtype="<u8") for _, _, t in held]
-        owner = np.repeat(np.arange(len(held)), [len(a) for a in arrays])
-        token = np.concatenate(arrays)
-        _, code, count = np.unique(token, return_inverse=True, return_counts=True)
-        mates = np.bincount(owner, count[code] > 1, minlength=len(held)) > 0
-        columns = [
-            pa.array((number << 6) + np.arange(len(held))), pa.array([c for c, _, _ in held]), pa.array([n for _, n, _ in held], pa.int64()),
-            pa.array(mates), pa.array([t for _, _, t in held], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["member", "cls", "n", "mates", "tokens"])
 
-    for batch in batches:
-        for name, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "tokens"))):
-            if name == last:
-                continue
-            last = name
-            if held and (len(held) == MEMBERS or total + len(tokens) // 8 > GROUP_TOKENS):
-                yield group()
-                number, held, total = number + 1, [], 0
-            held.append((name, n, tokens))
-            total += len(tokens) // 8
-    if held:
-        yield group()
-    return_free_memory()
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 27  # groups of a partition
+        held: list[tuple[str, int, bytes]] = []
+        total, last = 0, None
+
+        def group() -> pa.RecordBatch:
+            sizes = np.array([n for _, n, _ in held], dtype=np.int64)
+            mates = _within([np.frombuffer(t, dtype="<u8") for _, _, t in held], sizes, percent)
+            columns = [
+                pa.array((number << 6) + np.arange(len(held))), pa.array([c for c, _, _ in held]), pa.array(sizes),
+                pa.array(mates), pa.array([t for _, _, t in held], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["member", "cls", "n", "mates", "tokens"])
+
+        for batch in batches:
+            for name, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "tokens"))):
+                if name == last:
+                    continue
+                last = name
+                if held and (len(held) == MEMBERS or total + len(tokens) // 8 > GROUP_TOKENS):
+                    yield group()
+                    number, held, total = number + 1, [], 0
+                held.append((name, n, tokens))
+                total += len(tokens) // 8
+        if held:
+            yield group()
+        return_free_memory()
+
+    return emit
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +215,15 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows, sorted by token and member, whose token has another row; with the first row of the token's run.
 
-    A batch's last row waits for the next batch; only it and its run's first row are held.
+    The first row is there from the run's LONG-th row on. A batch's last row waits for the next batch; only it and
+    its run's first row are held.
     """
     names = ["token", "member", "n", "place"]
-    last, first = None, None  # the waiting row, the first row of its run
+    last, first, passed = None, None, 0  # the waiting row, the first row of its run, rows before it in the run
 
-    def out(rows: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(rows[i][keep]) for i in range(4)] + [pa.array(starts[i][keep]) for i in range(1, 4)]
+    def out(rows: np.ndarray, starts: np.ndarray, rank: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        far = rank[keep] >= LONG
+        columns = [pa.array(rows[i][keep]) for i in range(4)] + [pa.array(starts[i][keep], mask=~far) for i in range(1, 4)]
         return pa.RecordBatch.from_arrays(columns, names=[*names, "centre", "centre_n", "centre_place"])
 
     for batch in batches:
@@ -209,16 +235,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = rows[0]
         begins = np.r_[True, token[1:] != token[:-1]]
         at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-        starts = rows[:, at]
-        if first is not None and first[0, 0] == token[0]:
-            starts = np.where(token == token[0], first, starts)
-        more = np.r_[token[1:] == token[:-1], False]
-        keep = more | (starts[1] != rows[1])
+        starts, rank = rows[:, at], np.arange(len(token)) - at
+        if first is not None:
+            rank = rank + np.where(at == 0, passed, 0)
+            starts = np.where(at == 0, first, starts)
+        keep = np.r_[token[1:] == token[:-1], False] | (rank > 0)
         keep[-1] = False
-        yield out(rows, starts, keep)
-        last, first = rows[:, -1:].copy(), starts[:, -1:].copy()
+        yield out(rows, starts, rank, keep)
+        last, first, passed = rows[:, -1:].copy(), starts[:, -1:].copy(), int(rank[-1])
     if last is not None:
-        yield out(last, first, first[1] != last[1])
+        yield out(last, first, np.array([passed]), np.array([passed > 0]))
     return_free_memory()
 
 
@@ -379,15 +405,17 @@ def _verified(found: DataFrame, own: DataFrame, groups: DataFrame, text: DataFra
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _whole_sets(bits.value)(batches)
 
-    sets = text.mapInArrow(whole, "cls string, hashes binary").join(members, "cls")
-    sets = stored(sets.groupBy("member").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = text.mapInArrow(whole, "cls string, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    sets = stored(sets.join(members, "cls").select("member", "hashes"), "sets")
     release(spark)
-    rows = inside.join(sets, "member").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
-    rows = rows.select("g", "salt", F.col("member").alias("q"), nothing.alias("bits"), ((F.col("own") == 1) & (F.col("salt") == 0)).alias("own"), "hashes")
-    salted = found.join(opened.select("g", "salts"), "g").withColumnRenamed("q", "member").join(sets, "member")
+    inside = inside.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    own_salt = (F.col("own") == 1) & (F.col("salt") == 0)
+    rows = inside.select("member", "g", "salt", nothing.alias("bits"), own_salt.alias("own"))
     salt = F.pmod(F.xxhash64("member"), F.col("salts") - 1) + 1
-    queries = salted.select("g", salt.alias("salt"), F.col("member").alias("q"), "bits", F.lit(False).alias("own"), "hashes")
-    both = rows.unionByName(queries).withColumn("kind", F.col("bits") != 0)
+    queries = found.withColumnRenamed("q", "member").join(opened.select("g", "salts"), "g")
+    rows = rows.unionByName(queries.select("member", "g", salt.alias("salt"), "bits", F.lit(False).alias("own")))
+    both = rows.join(sets, "member").select("g", "salt", F.col("member").alias("q"), "bits", "own", "hashes")
+    both = both.withColumn("kind", F.col("bits") != 0)
     both = both.repartition(shuffle_partitions(spark), "g", "salt").sortWithinPartitions("g", "salt", "kind")
     return both.drop("kind").mapInArrow(_open_groups(percent, forest), "a long, b long")
 
@@ -406,7 +434,7 @@ def _index(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFra
     sets = text.mapInArrow(prefixes, "cls string, n long, t0 long, t1 long, tokens binary")
     # rebalancing splits a token that leads very many sets; its parts only form more groups
     near = sets.hint("rebalance", "t0").sortWithinPartitions("t0", "t1", "cls").select("cls", "n", "tokens")
-    groups = stored(near.mapInArrow(_grouped, "member long, cls string, n long, mates boolean, tokens binary"), "groups")
+    groups = stored(near.mapInArrow(_grouped(percent), "member long, cls string, n long, mates boolean, tokens binary"), "groups")
     release(spark)
     flat = groups.select("member", "n", "tokens").mapInArrow(_flat, "token long, member long, n long, place long")
     flat = flat.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "member")
@@ -420,12 +448,20 @@ def _fits(n: str, m: str, percent: int) -> Column:
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(q, s), q > s: members of different ``root`` whose sizes, and places of the first shared token, leave room."""
+    """(q, s), q > s: members of different ``root`` whose sizes and shared tokens leave room for the similarity.
+
+    Of two prefixes the one that ends at the rarer token has all its shared tokens in the other as well, so that two sets share at
+    most the tokens that the prefixes share and what lies behind one of them.
+    """
     other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("member", "n", "place", "root")))
     met = rows.join(other, "token").where((F.col("root") != F.col("root2")) & (F.col("member") > F.col("member2")) & _fits("n", "n2", percent))
     room = F.min(F.struct("place", _room("n", "place", "n2", "place2", percent, first=True).alias("room")))
-    pairs = met.groupBy(F.col("member").alias("q"), F.col("member2").alias("s")).agg(room.alias("first"))
-    return pairs.where("first.room >= 0").select("q", "s")
+    size = F.max(F.greatest("n", "n2"))
+    pairs = met.groupBy(F.col("member").alias("q"), F.col("member2").alias("s")).agg(
+        room.alias("first"), F.count(F.lit(1)).alias("shared"), size.alias("n"), F.max(F.col("n") + F.col("n2")).alias("both")
+    )
+    may = F.col("shared") + F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) - 1
+    return pairs.where((F.col("first.room") >= 0) & (may * (100 + percent) >= F.col("both") * percent)).select("q", "s")
 
 
 def _same_sets(groups: DataFrame) -> DataFrame:
@@ -461,13 +497,13 @@ def linked_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a token in its prefix (rare tokens first) in common with any similar one: the runs of such
     tokens name the groups that a set has to meet. A query that shares fewer of its shingles with the
     union of a group's sets than any link needs is done with it; else the group is opened and the sets are
-    compared, all shingles of them. First every group is opened for its own members, and for sets that share a token whose
-    run it leads; after that only pairs of different components are left.
+    compared, all shingles of them. First groups are opened for their own members and, where very many sets share a token, for the
+    sets of its run that the group leads; after that only pairs of different components are left.
     """
     docs = from_files(docs)
     shingled, text, groups, runs = _index(docs, percent)
     room = _room("n", "place", "centre_n", "centre_place", percent, first=False)
-    star = runs.where((F.col("member") != F.col("centre")) & _fits("n", "centre_n", percent) & (room >= 0))
+    star = runs.where(F.col("centre").isNotNull() & _fits("n", "centre_n", percent) & (room >= 0))
     star = star.where(F.shiftright("member", 6) != F.shiftright("centre", 6)).select(F.col("member").alias("q"), F.col("centre").alias("s"))
     bit = F.expr(f"shiftleft(1L, cast(member & {MEMBERS - 1} as int))")
     own = groups.where("mates").groupBy(F.shiftright("member", 6).alias("g")).agg(F.bit_or(bit).alias("bits"))
