@@ -142,5 +142,5 @@ def test_runs_across_batches():
                    for i in range(0, len(token), size)]
         out = pa.Table.from_batches(list(nj._shared(iter(batches)))).to_pylist()
         assert [r["member"] for r in out] == [i for i, t in enumerate(token) if t not in (1, 4)]
-        assert [r["centre"] for r in out if r["token"] == 3] == [None] * nj.LONG + [3] * (200 - nj.LONG)
-        assert all(r["centre"] is None for r in out if r["token"] != 3)
+        assert [r["far"] for r in out if r["token"] == 3] == [False] * nj.LONG + [True] * (200 - nj.LONG)
+        assert not any(r["far"] for r in out if r["token"] != 3)

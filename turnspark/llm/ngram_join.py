@@ -23,7 +23,7 @@ COUNTERS = 1 << 18  # shingle counters of the rarity order; any total order give
 MEMBERS = 64  # of a group, one bit each
 GROUP_TOKENS = 1 << 18  # tokens at which a group takes no further member
 QUERIES = 512  # of an opened group in one task
-LONG = 64  # rows of a token's run after which a row is first compared with the run's first one
+LONG = 64  # rows of a token's run beyond which its rows are first compared with one of them
 PRODUCT_ROWS = 4096  # tokens of a group that are counted between its members at once
 SEEN = 1 << 18  # sets that a task remembers to skip its own repeats
 MAP_BITS = (16, 27)  # smallest and largest bitmap of wanted sets, as powers of two
@@ -213,18 +213,16 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by token and member, whose token has another row; with the first row of the token's run.
+    """Rows, sorted by token, whose token has another row; ``far`` from the run's LONG-th row on.
 
-    The first row is there from the run's LONG-th row on. A batch's last row waits for the next batch; only it and
-    its run's first row are held.
+    A batch's last row waits for the next batch; only it and its place in the run are held.
     """
     names = ["token", "member", "n", "place"]
-    last, first, passed = None, None, 0  # the waiting row, the first row of its run, rows before it in the run
+    last, passed = None, 0  # the waiting row, rows before it in its run
 
-    def out(rows: np.ndarray, starts: np.ndarray, rank: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        far = rank[keep] >= LONG
-        columns = [pa.array(rows[i][keep]) for i in range(4)] + [pa.array(starts[i][keep], mask=~far) for i in range(1, 4)]
-        return pa.RecordBatch.from_arrays(columns, names=[*names, "centre", "centre_n", "centre_place"])
+    def out(rows: np.ndarray, rank: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(rows[i][keep]) for i in range(4)] + [pa.array(rank[keep] >= LONG)]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "far"])
 
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy() for c in names])
@@ -235,27 +233,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = rows[0]
         begins = np.r_[True, token[1:] != token[:-1]]
         at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-        starts, rank = rows[:, at], np.arange(len(token)) - at
-        if first is not None:
-            rank = rank + np.where(at == 0, passed, 0)
-            starts = np.where(at == 0, first, starts)
+        rank = np.arange(len(token)) - at + np.where(at == 0, passed, 0)
         keep = np.r_[token[1:] == token[:-1], False] | (rank > 0)
         keep[-1] = False
-        yield out(rows, starts, rank, keep)
-        last, first, passed = rows[:, -1:].copy(), starts[:, -1:].copy(), int(rank[-1])
+        yield out(rows, rank, keep)
+        last, passed = rows[:, -1:].copy(), int(rank[-1])
     if last is not None:
-        yield out(last, first, np.array([passed]), np.array([passed > 0]))
+        yield out(last, np.array([passed]), np.array([passed > 0]))
     return_free_memory()
 
 
-def _room(n: str, place: str, m: str, other: str, percent: int, first: bool) -> Column:
-    """Tokens that two sets of n and m may share beyond what they need, if they share the tokens at these places.
-
-    ``first`` says that the token is the first that they share.
-    """
-    before = F.lit(0) if first else F.least(place, other)
-    may = before + 1 + F.least(F.col(n) - F.col(place) - 1, F.col(m) - F.col(other) - 1)
-    return may - F.ceil((F.col(n) + F.col(m)) * percent / F.lit(100.0 + percent) - 1e-9)
+def _fits(percent: int) -> Column:
+    """Whether two sets (n and n2) that share the tokens at place and place2 leave room for the similarity."""
+    n, m, i, j = (F.col(c) for c in ("n", "n2", "place", "place2"))
+    may = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (may * (100 + percent) >= (n + m) * percent)
 
 
 def _by_group(pairs: DataFrame) -> DataFrame:
@@ -437,31 +429,32 @@ def _index(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFra
     groups = stored(near.mapInArrow(_grouped(percent), "member long, cls string, n long, mates boolean, tokens binary"), "groups")
     release(spark)
     flat = groups.select("member", "n", "tokens").mapInArrow(_flat, "token long, member long, n long, place long")
-    flat = flat.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "member")
-    runs = stored(flat.mapInArrow(_shared, "token long, member long, n long, place long, centre long, centre_n long, centre_place long"), "runs")
+    flat = flat.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
+    runs = stored(flat.mapInArrow(_shared, "token long, member long, n long, place long, far boolean"), "runs")
     release(spark)
     return scan.where("counts is null").drop("counts"), text, groups, runs
 
 
-def _fits(n: str, m: str, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """(q, s, shared, n, both), q > s: members of different ``root`` with the number of tokens that they share among the rows.
 
+    ``n`` is the larger of their sizes, ``both`` the sum.
+    """
+    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("member", "n", "place", "root")))
+    met = rows.join(other, "token").where((F.col("root") != F.col("root2")) & (F.col("member") > F.col("member2")) & _fits(percent))
+    return met.groupBy(F.col("member").alias("q"), F.col("member2").alias("s")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n", "n2")).alias("n"), F.max(F.col("n") + F.col("n2")).alias("both")
+    )
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(q, s), q > s: members of different ``root`` whose sizes and shared tokens leave room for the similarity.
+
+def _may_reach(shared: Column, percent: int) -> Column:
+    """Whether sets whose prefixes share so many tokens may be similar.
 
     Of two prefixes the one that ends at the rarer token has all its shared tokens in the other as well, so that two sets share at
     most the tokens that the prefixes share and what lies behind one of them.
     """
-    other = rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("member", "n", "place", "root")))
-    met = rows.join(other, "token").where((F.col("root") != F.col("root2")) & (F.col("member") > F.col("member2")) & _fits("n", "n2", percent))
-    room = F.min(F.struct("place", _room("n", "place", "n2", "place2", percent, first=True).alias("room")))
-    size = F.max(F.greatest("n", "n2"))
-    pairs = met.groupBy(F.col("member").alias("q"), F.col("member2").alias("s")).agg(
-        room.alias("first"), F.count(F.lit(1)).alias("shared"), size.alias("n"), F.max(F.col("n") + F.col("n2")).alias("both")
-    )
-    may = F.col("shared") + F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) - 1
-    return pairs.where((F.col("first.room") >= 0) & (may * (100 + percent) >= F.col("both") * percent)).select("q", "s")
+    may = shared + F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) - 1
+    return may * (100 + percent) >= F.col("both") * percent
 
 
 def _same_sets(groups: DataFrame) -> DataFrame:
@@ -477,7 +470,8 @@ def similar_pairs(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     """
     docs = from_files(docs)
     shingled, text, groups, runs = _index(docs, percent)
-    found = stored(_by_group(_pairs(runs.withColumn("root", F.col("member")), percent)), "candidates")
+    met = _met(runs.withColumn("root", F.col("member")), percent).where(_may_reach(F.col("shared"), percent))
+    found = stored(_by_group(met), "candidates")
     own = groups.limit(0).select(F.col("member").alias("g"), F.col("n").alias("bits"))
     links = _verified(found, own, groups, text, percent, forest=False)
     named = groups.select("member", "cls")
@@ -497,25 +491,37 @@ def linked_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a token in its prefix (rare tokens first) in common with any similar one: the runs of such
     tokens name the groups that a set has to meet. A query that shares fewer of its shingles with the
     union of a group's sets than any link needs is done with it; else the group is opened and the sets are
-    compared, all shingles of them. First groups are opened for their own members and, where very many sets share a token, for the
-    sets of its run that the group leads; after that only pairs of different components are left.
+    compared, all shingles of them. First groups are opened for their own members, for the candidates of short runs and, where very many
+    sets share a token, for one central set of the run; after that only pairs of different components in long runs are left.
     """
     docs = from_files(docs)
     shingled, text, groups, runs = _index(docs, percent)
-    room = _room("n", "place", "centre_n", "centre_place", percent, first=False)
-    star = runs.where(F.col("centre").isNotNull() & _fits("n", "centre_n", percent) & (room >= 0))
-    star = star.where(F.shiftright("member", 6) != F.shiftright("centre", 6)).select(F.col("member").alias("q"), F.col("centre").alias("s"))
+    itself = runs.withColumn("root", F.col("member"))
+    many = stored(runs.where("far").select("token").distinct(), "long-runs")
+    few = itself.join(many, "token", "left_anti")
+    long_ = stored(runs.join(many, "token", "left_semi").select("token", "member", "n", "place"), "long-rows")
+    weight = stored(long_.groupBy("member").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    met = stored(_met(few, percent), "met")
+    sure = met.where(_may_reach(F.col("shared"), percent)).select("q", "s")
+    # the set with most tokens in long runs is nearest to what a run's sets have in common
+    centre = long_.join(weight, "member").groupBy("token").agg(F.max(F.struct("weight", "member", "n", "place")).alias("c"))
+    centre = centre.select("token", F.col("c.member").alias("s"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"))
+    star = lookup_join(long_, centre, ["token"], ["member"]).where((F.col("member") != F.col("s")) & _fits(percent))
+    found = stored(_by_group(sure.union(star.select("member", "s")).distinct()), "candidates")
     bit = F.expr(f"shiftleft(1L, cast(member & {MEMBERS - 1} as int))")
     own = groups.where("mates").groupBy(F.shiftright("member", 6).alias("g")).agg(F.bit_or(bit).alias("bits"))
-    links = stored(_verified(stored(_by_group(star), "candidates"), own, groups, text, percent, forest=True).union(_same_sets(groups)), "links")
+    links = stored(_verified(found, own, groups, text, percent, forest=True).union(_same_sets(groups)), "links")
     release(docs.sparkSession)
     roots = stored(components(links), "roots")
-    rooted = runs.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
-        "token", "member", "n", "place", F.coalesce("root", "member").alias("root")
-    )
+    rooted = long_.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
     rooted = stored(rooted, "rooted")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rest = stored(_by_group(_pairs(rooted.join(mixed, "token", "left_semi"), percent)), "candidates")
+    late = _met(rooted.join(mixed, "token", "left_semi"), percent).withColumn("before", F.lit(0).cast("bigint"))
+    early = met.withColumn("before", F.col("shared")).join(weight.select(F.col("member").alias("q")), "q", "left_semi")
+    early = early.join(weight.select(F.col("member").alias("s")), "s", "left_semi").select(late.columns)
+    both = late.union(early).groupBy("q", "s").agg(*(F.sum(c).alias(c) for c in ("shared", "before")), *(F.max(c).alias(c) for c in ("n", "both")))
+    rest = both.where((F.col("shared") > F.col("before")) & _may_reach(F.col("shared"), percent) & ~_may_reach(F.col("before"), percent))
+    rest = stored(_by_group(rest), "candidates")
     if not rest.isEmpty():
         none = own.limit(0)
         links = stored(links.union(_verified(rest, none, groups, text, percent, forest=True)), "links")
