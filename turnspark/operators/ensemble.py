@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnspark.functions.scores import argmax_label, confidence
-from turnspark.ranking import position_rows
+
+
+GATE_BROADCAST = 100_000  # gated rows (an id and a flag each) up to which they are sent to all tasks
 
 
 def mean_probs(probs: str, n_classes: int) -> Column:
@@ -105,17 +107,16 @@ def paired_outputs(
 def least_confident(pairs: DataFrame, k: int, row_id: str = "id") -> DataFrame:
     """The k rows of lowest confidence with their rank, ties broken by id.
 
-    The ranks come from a range-partitioned sort at any k, so no task holds them all.
+    Every task keeps k rows and one task merges them; k is the caller's small number of gated rows.
     """
-    order = [F.col("confidence"), F.col(row_id)]
-    numbered = position_rows(pairs, order, "_pos").where(F.col("_pos") < k)
-    return numbered.withColumn("gate_rank", F.col("_pos") + 1).drop("_pos")
+    first = pairs.orderBy("confidence", row_id).limit(k)
+    return first.withColumn("gate_rank", F.row_number().over(W.orderBy("confidence", row_id)).cast("bigint"))
 
 
 def confidence_gate(pairs: DataFrame, k: int, row_id: str = "id") -> DataFrame:
     """Let the diverse model decide the k rows where the strong model is least sure."""
-    gated = least_confident(pairs, k, row_id).select(row_id, F.lit(True).alias("gated"))
-    joined = pairs.join(gated, row_id, "left")
+    gated = pairs.orderBy("confidence", row_id).limit(k).select(row_id, F.lit(True).alias("gated"))
+    joined = pairs.join(F.broadcast(gated) if k <= GATE_BROADCAST else gated, row_id, "left")
     is_gated = F.coalesce(F.col("gated"), F.lit(False))
     label = F.when(is_gated, F.col("diverse_label")).otherwise(F.col("strong_label"))
     return joined.select(

@@ -6,6 +6,7 @@ steps then give the confusion counts at every threshold at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnspark.lineage import cut_lineage
-from turnspark.ranking import exact_quantiles
+from turnspark.operators.bounded import MAX_GROUPS
+from turnspark.ranking import exact_quantiles, position_rows
 
 SCORE_STEPS = 401
 
@@ -108,6 +110,11 @@ def sweep(
         df.sparkSession.range(1).drop("id")
     )
     frame = keys.select(*by, F.explode(steps).alias("_t")).select(*by, "_t.*")
+    return _confusions(counted, frame, by)
+
+
+def _confusions(counted: DataFrame, frame: DataFrame, by: list[str]) -> DataFrame:
+    """From label counts (by, step, pos, neg) to the confusion counts at each (by, step, threshold) of ``frame``."""
     full = frame.join(counted, [*by, "step"], "full_outer").fillna(0, ["pos", "neg"])
     up = W.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*by)
@@ -165,3 +172,43 @@ def tune_threshold_scores(df: DataFrame, score: str = "score", label: str = "lab
     """
     pairs = cut_lineage(df.select(score, label))
     return best_threshold(sweep(pairs, threshold_grid(pairs, score), score, label))
+
+
+def tune_thresholds_by(df: DataFrame, by: str, score: str = "score", label: str = "label") -> DataFrame:
+    """:func:`tune_threshold_scores` for every value of ``by``, a small key such as the configuration, in one go.
+
+    One sort gives the percentiles of all keys, one aggregation the counts at all their thresholds.
+    """
+    spark = df.sparkSession
+    pairs = df.select(by, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y")).where("_s is not null")
+    placed = position_rows(pairs, [F.col(by), F.col("_s")], "_pos")
+    spans = placed.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("at"), F.min("_s").alias("low"), F.max("_s").alias("high"))
+    spans = spans.limit(MAX_GROUPS + 1).collect()
+    if len(spans) > MAX_GROUPS:
+        raise ValueError(f"{by} has more than {MAX_GROUPS} values")
+    ranks = {r[by]: [p * (r["n"] - 1) for p in (0.01, 0.99)] for r in spans}
+    wanted = {r["at"] + f(x) for r in spans for x in ranks[r[by]] for f in (math.floor, math.ceil)}
+    known = spark.createDataFrame([(int(p),) for p in wanted], "_pos long")
+    value = {r["_pos"]: r["_s"] for r in placed.join(F.broadcast(known), "_pos").select("_pos", "_s").collect()}
+    rows, points = [], []
+    for r in spans:
+        if not (math.isfinite(r["low"]) and math.isfinite(r["high"])):
+            raise ValueError(f"{score} holds values that are not finite")
+        low, high = (value[r["at"] + math.floor(x)] + (value[r["at"] + math.ceil(x)] - value[r["at"] + math.floor(x)]) * (x - math.floor(x))
+                     for x in ranks[r[by]])
+        if low == high:
+            low, high = r["low"], r["high"]
+        flat = low == high
+        grid = Grid(low, 0.0 if flat else (high - low) / (SCORE_STEPS - 1), 1 if flat else SCORE_STEPS, with_zero=True)
+        rows.append((r[by], grid.low, grid.step, grid.points, 0.0 not in grid.linear()))
+        points += [(r[by], i + 1, t) for i, t in enumerate(grid.values())]
+    kind = df.schema[by].dataType.simpleString()
+    grids = spark.createDataFrame(rows, f"{by} {kind}, _low double, _step double, _points int, _zero boolean")
+    s, low, step, n = F.col("_s"), F.col("_low"), F.col("_step"), F.col("_points")
+    guess = F.greatest(F.least(F.floor((s - low) / F.when(step > 0, step)), n - 1), F.lit(-1)).cast("int")
+    off = ((guess < n - 1) & (low + (guess + 1) * step <= s)).cast("int") - ((guess >= 0) & (low + guess * step > s)).cast("int")
+    reached = F.when(step > 0, guess + 1 + off).otherwise((s >= low).cast("int")) + (F.col("_zero") & (s >= 0)).cast("int")
+    counted = placed.join(F.broadcast(grids), by).select(by, "_y", reached.alias("step")).groupBy(by, "step").agg(
+        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+    frame = spark.createDataFrame(points, f"{by} {kind}, step int, threshold double")
+    return best_threshold(_confusions(counted, frame, [by]), [by])
