@@ -386,7 +386,7 @@ def _verified(found: DataFrame, own: DataFrame, groups: DataFrame, text: DataFra
     opened = found.groupBy("g").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("queries"), nothing.alias("own"))
     opened = opened.unionByName(own.select("g", "bits", nothing.alias("queries"), F.lit(1).cast("bigint").alias("own")))
     opened = opened.groupBy("g").agg(F.bit_or("bits").alias("bits"), F.sum("queries").alias("queries"), F.max("own").alias("own"))
-    opened = stored(opened.withColumn("salts", F.floor((F.col("queries") + QUERIES - 1) / QUERIES) + 1), "opened")
+    opened = stored(opened.withColumn("salts", F.greatest(F.ceil(F.col("queries") / QUERIES), F.lit(1))), "opened")
     bit = F.expr(f"filter(sequence(0L, {MEMBERS - 1}L), i -> shiftright(bits, cast(i as int)) & 1 = 1)")
     inside = opened.select("g", "salts", "own", F.explode(bit).alias("i")).select("g", "salts", "own", (F.shiftleft("g", 6) + F.col("i")).alias("member"))
     some = inside.select("member").union(found.select("q")).distinct()
@@ -403,7 +403,7 @@ def _verified(found: DataFrame, own: DataFrame, groups: DataFrame, text: DataFra
     inside = inside.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
     own_salt = (F.col("own") == 1) & (F.col("salt") == 0)
     rows = inside.select("member", "g", "salt", nothing.alias("bits"), own_salt.alias("own"))
-    salt = F.pmod(F.xxhash64("member"), F.col("salts") - 1) + 1
+    salt = F.pmod(F.xxhash64("member"), F.col("salts"))
     queries = found.withColumnRenamed("q", "member").join(opened.select("g", "salts"), "g")
     rows = rows.unionByName(queries.select("member", "g", salt.alias("salt"), "bits", F.lit(False).alias("own")))
     both = rows.join(sets, "member").select("g", "salt", F.col("member").alias("q"), "bits", "own", "hashes")
