@@ -130,7 +130,7 @@ class _Reader(DataSourceReader):
         for one in filters:
             held = isinstance(one, (EqualTo, In)) and len(one.attribute) == 1 and one.attribute[0] in ("record_type", "page_id", "url", "payload_digest")
             if held:
-                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                values = ({one.value} if isinstance(one, EqualTo) else set(one.value)) - {None}  # nothing equals null
                 name = one.attribute[0]
                 self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
             else:
