@@ -198,7 +198,7 @@ def test_subsequence():
 def test_language(spark, docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = [(i, " ".join(rng.choice(v) for _ in range(30)), lang) for i in range(200) for lang, v in (("aa", ["the", "water", "house"]), ("bb", ["das", "wasser", "haus"]))]
-    rows += [(1000, None, "aa"), (1001, "12 !", "bb"), (1002, "", None)]
+    rows += [(1000, None, "aa"), (1001, "12 !", "bb"), (1002, "", None), (1003, "½ ²", "aa")]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()
     for (doc_id, text, lang), r in zip(rows, got):
         assert r["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0) and 0 <= r["score"] <= 1
@@ -207,6 +207,10 @@ def test_language(spark, docs, none):
     assert langid.keep_identified(docs, path).columns == docs.columns
 
 
+def test_signs_are_no_letters():
+    assert langid.words_of("½ ²") == [] and langid.words_of("x² Ab½c") == ["▁x", "▁ab", "▁c"]
+
+
 def test_forward_sums_all_segmentations():
     lattice = langid.Lattice(["a", "b", "ab", "ba", "aba"])
     probs = np.array([[0.3, 0.2, 0.2, 0.1, 0.15, 0.05, 0.0]])
@@ -300,6 +304,14 @@ def test_warc(spark, docs):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_filters_never_match_null():
+    from pyspark.sql.datasource import EqualTo, In
+
+    reader = warc._Reader("file:/nowhere", warc.StructType([]), False)
+    assert list(reader.pushFilters([In(("page_id",), (1, None)), EqualTo(("url",), "u")])) == []
+    assert reader.wanted == {"page_id": {1}, "url": {"u"}}
+
+
 def test_urls(spark):
     urls = ["http://a.example.net/en/1", "https://X.NET/de", "http://example.com/de/3?x=1", "http://b.org/fr/", "http://b.org/fr", None, "no", "http://q.io#f"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -40,7 +40,10 @@ def public_pieces(path: str, longest: int = MAX_PIECE) -> list[str]:
 def words_of(text: str) -> list[str]:
     """Lower-cased letter runs, marked at the start and cut into blocks of BLOCK characters."""
     out = []
-    for run in WORD.findall(text.lower()):
+    runs = WORD.findall(text.lower())
+    if not all(run.isalpha() for run in runs):  # signs such as fractions and powers are no letters
+        runs = "".join(c if c.isalpha() else " " for run in runs for c in f"{run} ").split()
+    for run in runs:
         word = START + run
         if len(word) <= BLOCK:
             out.append(word)
