@@ -225,6 +225,31 @@ def test_label_files(spark, tmp_path):
     ]
 
 
+def test_label_parts_are_one_table(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS pos", "5000 - id AS id", "CAST(id % 2 AS INT) AS label")
+    lb.write_labels(rows.repartition(7), str(tmp_path / "runs" / "good"))
+    lb.write_labels(rows.where("pos <> 500"), str(tmp_path / "runs" / "short"))
+    lb.write_labels(rows.withColumn("label", F.lit(1)), str(tmp_path / "other" / "good"))
+    (tmp_path / "runs" / "single.csv").write_text("id,label\n5000,0\n")
+    got = lb.read_label_files(spark, str(tmp_path / "runs" / "good")).where("not is_first")
+    assert [(r["pos"], r["id"]) for r in got.orderBy("pos").collect()] == [
+        (i, str(5000 - i)) for i in range(1000)
+    ]
+    audit = {
+        os.path.basename(r["file"]): r
+        for r in lb.audit_labels(spark, str(tmp_path / "runs"), rows.select("pos", "id"), (0, 1)).collect()
+    }
+    assert len(audit) == 3 and audit["good"]["status"] == "OK" and audit["good"]["n_rows"] == 1000
+    assert audit["short"]["missing_ids"] == 1 and audit["short"]["wrong_positions"] == 499
+    assert audit["single.csv"]["missing_ids"] == 999
+    roots = [str(tmp_path / name) for name in ("none", "other", "runs")]
+    refs = lb.load_references(spark, roots, ["good", "short", "gone"])
+    assert {(r["reference"], r["n"], r["ones"]) for r in refs.groupBy("reference").agg(
+        F.count("*").alias("n"), F.sum("label").alias("ones")).collect()
+    } == {("good", 1000, 1000), ("short", 999, 500)}
+    assert lb.load_references(spark, roots[:1], ["good"]).count() == 0
+
+
 def test_write_labels_keeps_order(spark, tmp_path):
     df = spark.createDataFrame([(i, 99 - i, i % 2) for i in range(100)], "pos long, id long, label int")
     lb.write_labels(df.repartition(5), str(tmp_path / "out"))

@@ -99,11 +99,16 @@ def store_query(spark, sf_dir):
     return out.select("experiment", "seed", *rounded, "valid_count", "test_count")
 
 
+def _quality(spark, sf_dir):
+    return v.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
+
+
 def written_labels(spark, sf_dir) -> str:
-    """Folder of a label file with every labelled document, in id order."""
+    """Folder of label parts with every labelled document, in id order."""
     path = f"{ensure_checkpoint_dir(spark)}/labels-{uuid.uuid4().hex}"
-    rows = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    lb.write_labels(rows, path, "id", single_file=True)
+    lb.write_labels(_quality(spark, sf_dir), path, "id")
     return path
 
 
@@ -113,7 +118,7 @@ def written_labels(spark, sf_dir) -> str:
        quality::VARCHAR AS label FROM labels""",
 )
 def round_trip_query(spark, sf_dir):
-    """Written as one file and read back with positions."""
+    """Written in ordered parts and read back with positions."""
     rows = lb.read_label_files(spark, written_labels(spark, sf_dir))
     return rows.where("not is_first").select("pos", "id", "label")
 
@@ -125,7 +130,7 @@ def round_trip_query(spark, sf_dir):
        0 AS wrong_positions, 0 AS bad_labels, 0 AS missing_ids FROM labels""",
 )
 def audit_query(spark, sf_dir):
-    """The written file against the positions it should have."""
+    """The written parts against the positions it should have."""
     ids = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     expected = position_rows(ids, [F.col("id")], "pos")
     audit = lb.audit_labels(spark, written_labels(spark, sf_dir), expected, (0, 1))
@@ -133,3 +138,21 @@ def audit_query(spark, sf_dir):
         "status", "n_rows", "class0", "class1", "unexpected_ids", "duplicate_ids",
         "wrong_positions", "bad_labels", "missing_ids",
     )
+
+
+@query(
+    "load_references",
+    """WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id::VARCHAR AS id,
+                 quality AS q FROM labels)
+    SELECT 'main' AS reference, pos, id, q::INT AS label FROM t
+    UNION ALL SELECT 'flipped', pos, id, (1 - q)::INT FROM t""",
+)
+def references_query(spark, sf_dir):
+    """Two names over two roots; ``main`` stands in both, a third name and root in none."""
+    base = f"{ensure_checkpoint_dir(spark)}/references-{uuid.uuid4().hex}"
+    same = _quality(spark, sf_dir)
+    flipped = same.withColumn("label", 1 - F.col("label"))
+    for rows, name in ((same, "first/main"), (flipped, "second/main"), (flipped, "second/flipped")):
+        lb.write_labels(rows, f"{base}/{name}", "id")
+    roots = [f"{base}/{name}" for name in ("first", "absent", "second")]
+    return lb.load_references(spark, roots, ["main", "flipped", "nowhere"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote, urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ def write_labels(
 ) -> None:
     """Write id,label in row order as CSV parts: part names sort like the rows.
 
-    ``single_file`` writes one part through one task, as ``audit_labels`` expects of a label
-    file; it is meant for tables that are handed over as one file.
+    ``single_file`` writes one part through one task; it is meant for small tables that are
+    handed over as one file.
     """
     ordered = df.orderBy(order)
     if single_file:
@@ -29,51 +30,61 @@ def write_labels(
     ordered.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """All label files below a path as rows (file, bytes, pos, id, label, header_ok).
+def read_label_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """All label tables below one or more paths as rows (file, bytes, pos, id, label, header_ok).
 
-    ``path`` may be a folder or glob of single-file tables. Lines are numbered per
-    file split first and shifted by the splits before, so a large file never has to be
-    read by one task. Malformed lines stay, with null id or label.
+    A file named ``part-*`` belongs to the table that its folder is; any other file is a table of
+    its own. ``file`` names the table, ``bytes`` is the size of the row's file and ``is_first``
+    marks the first line of each file. Positions run over the parts in the order of their names.
+    Lines are numbered per file split first and shifted by the splits before, so neither a
+    large file nor a table of many parts has to be read by one task. Malformed lines stay, with null
+    id or label.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_size").alias("bytes"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
     )
     stable = cut_lineage(lines)
-    blocks = stable.groupBy("file", "block").agg(
+    splits = stable.groupBy("_path", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_line").alias("_first")
     )
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    shifts = blocks.select(
-        "file", "block", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift")
-    )
-    rows = stable.join(shifts, ["file", "block"]).withColumn(
-        "_row", F.col("_shift") + F.col("_line") - F.col("_first")
+    splits = splits.withColumn("file", F.regexp_replace("_path", "/part-[^/]*$", ""))
+    ordered = W.partitionBy("file").orderBy("_path", "block")
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select(
+        "file",
+        "_path",
+        "block",
+        "_first",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"),
+        F.dense_rank().over(W.partitionBy("file").orderBy("_path")).alias("_headers"),
+        (F.row_number().over(W.partitionBy("_path").orderBy("block")) == 1).alias("_opens"),
     )
+    rows = stable.join(starts, ["_path", "block"])
     cells = F.split("value", ",")
     two = F.size(cells) == 2
-    first = (F.col("_row") == 0) & (F.trim("value") == HEADER)
+    is_first = F.col("_opens") & (F.col("_line") == F.col("_first"))
     return rows.select(
         "file",
         "bytes",
-        (F.col("_row") - 1).alias("pos"),
+        (F.col("_shift") + F.col("_line") - F.col("_first") - F.col("_headers")).alias("pos"),
         F.when(two, F.trim(F.get(cells, 0))).alias("id"),
         F.when(two, F.nullif(F.trim(F.get(cells, 1)), F.lit(""))).alias("label"),
-        first.alias("header_ok"),
-        (F.col("_row") == 0).alias("is_first"),
+        (is_first & (F.trim("value") == HEADER)).alias("header_ok"),
+        is_first.alias("is_first"),
     )
 
 
 def audit_labels(
     spark: SparkSession, path: str, expected: DataFrame, domain: Sequence[int]
 ) -> DataFrame:
-    """Status of every label file: violations per rule and class counts, no file aborts the run.
+    """Status of every label table: violations per rule and class counts, no file aborts the run.
 
-    ``expected`` has pos and id (as text). One pass over all files together.
+    ``expected`` has pos and id (as text). A table is one file or a folder of parts, each part with
+    its header. One pass over all files together.
     """
     rows = read_label_files(spark, path)
     body = rows.where("not is_first")
@@ -95,9 +106,9 @@ def audit_labels(
     number = F.expr("try_cast(label AS DOUBLE)")
     valid = number.isin([float(v) for v in domain])
     by_row = rows.groupBy("file").agg(
-        F.max("bytes").alias("bytes"),
+        F.sum(F.when(F.col("is_first"), F.col("bytes"))).alias("bytes"),
         F.count_if(~F.col("is_first")).alias("n_rows"),
-        F.max(F.when(F.col("is_first"), F.col("header_ok"))).alias("header_ok"),
+        F.min(F.when(F.col("is_first"), F.col("header_ok"))).alias("header_ok"),
         F.count_if(~F.col("is_first") & ~F.coalesce(valid, F.lit(False))).alias("bad_labels"),
         *[
             F.count_if(~F.col("is_first") & (number == float(v))).alias(f"class{v}")
@@ -125,29 +136,33 @@ def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"))
 
 
+def _exists(spark: SparkSession, root: str) -> bool:
+    try:
+        spark.read.text(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def load_references(spark: SparkSession, roots: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Reference tables (reference, pos, id, label) by file name; the first root wins.
+    """Reference tables (reference, pos, id, label) by name; the first root wins.
 
-    A name found in no root simply has no rows.
+    A name is a file or a folder of parts directly below a root. All roots are read in one scan.
+    Missing roots and names found in no root simply have no rows. Roots are told apart by their paths.
     """
-    found = None
-    for priority, root in enumerate(roots):
-        for name in names:
-            try:
-                rows = read_label_files(spark, f"{root}/{name}").where("not is_first")
-            except AnalysisException as error:
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-                continue
-            part = rows.select(
-                F.lit(name).alias("reference"),
-                F.lit(priority).alias("_root"),
-                "pos",
-                "id",
-                F.expr("try_cast(label AS INT)").alias("label"),
-            )
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+    found = [root.rstrip("/") for root in roots if _exists(spark, root)]
+    if not found:
         return spark.createDataFrame([], "reference string, pos long, id string, label int")
-    winners = found.groupBy("reference").agg(F.min("_root").alias("_root"))
-    return found.join(F.broadcast(winners), ["reference", "_root"]).drop("_root")
+    rows = read_label_files(spark, found)
+    root = F.parse_url(F.regexp_replace("file", "/[^/]*$", ""), F.lit("PATH"))
+    priority = F.coalesce(
+        *[F.when(root == quote(urlsplit(r).path), F.lit(i)) for i, r in enumerate(found)]
+    )
+    tables = rows.select(
+        "*", F.element_at(F.split("file", "/"), -1).alias("reference"), priority.alias("_root")
+    ).where(F.col("reference").isin(list(names)) & F.col("_root").isNotNull())
+    winners = tables.where("is_first").groupBy("reference").agg(F.min("_root").alias("_root"))
+    kept = tables.where("not is_first").join(F.broadcast(winners), ["reference", "_root"])
+    return kept.select("reference", "pos", "id", F.expr("try_cast(label AS INT)").alias("label"))
