@@ -76,10 +76,9 @@ def sessions(
     value: str = "value",
     ts: str = "ts",
 ) -> DataFrame:
-    """Runs of a subject's events with less than ``gap`` seconds between neighbours.
+    """Runs of a subject's events with at most ``gap`` seconds between neighbours.
 
-    Rows are (subject, first, last, n, total); an event exactly ``gap`` seconds after the one before
-    opens a new session.
+    Rows are (subject, first, last, n, total); null values add nothing to the total.
     """
     runs = timed_events(events, late, ts).groupBy(subject, F.session_window(ts, f"{gap} seconds").alias("_run"))
     rows = runs.agg(

@@ -30,18 +30,16 @@ def score_turns(
 def write_scores(
     scored: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Start writing a stream of scored turns, each batch to a folder of its own.
+    """Start writing a stream of scored turns as Parquet.
 
-    A batch that is repeated after a restart overwrites its folder, so rows appear once.
+    The sink's log and the checkpoint commit each batch once, so a batch that is repeated after a
+    restart adds no second copy of its rows. Both folders have to be shared ones.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = scored.writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """All scored rows written so far."""
-    return spark.read.parquet(path).drop("batch")
+    """All scored rows of committed batches."""
+    return spark.read.parquet(path)
