@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnspark.functions.scores import argmax_label
+from turnspark.lineage import ensure_checkpoint_dir
 from turnspark.models import linear, riemann, spatial
+from turnspark.models import trial_models as tm
 from turnspark.operators import metrics as m
 from turnspark.operators import trials as tr
 from turnspark.operators.splits import hold_group
 from turnspark.plans import alignment as al
+from turnspark.plans import inference as inf
 from turnspark.queries import views as v
 from turnspark.queries.registry import query
+from turnspark.sources.labels import read_label_files
 
 SIZE, STRIDE = 8, 2
 
@@ -157,3 +163,67 @@ def csp_query(spark, sf_dir):
     return spatial.csp_features(covs, rows).select(
         "trial", "w", F.transform("features", lambda x: F.round(x, 6)).alias("features")
     )
+
+
+GATE_K = 14
+FOUR = (0, 1, 2, 3)
+
+
+@query(
+    "gated_inference",
+    f"""WITH t AS (SELECT vec_id FROM embeddings WHERE vec_id % 10 = 9)
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id AS trial, TRUE AS in_domain,
+      TRUE AS as_gated, TRUE AS gate_holds_lowest, least({GATE_K}, count(*) OVER ()) AS n_gated FROM t""",
+)
+def gated_query(spark, sf_dir):
+    """Fit strong and diverse models, save, reload, gate, validate, write; then check the file.
+
+    Fitted labels have no SQL form, so the row states what must hold of each: a class of the domain,
+    the label of the model that the gate picked, and no ungated trial below a gated one.
+    """
+    train, valid = _split(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark)}/gated-{uuid.uuid4().hex}"
+    strong = [tm.TrialRecipe(kind, SIZE, STRIDE, FOUR) for kind in ("tangent", "mdm")]
+    diverse = [tm.TrialRecipe("csp_lda", SIZE, STRIDE, FOUR)]
+    tm.save_bundle(spark, inf.fit_bundle(train, strong, diverse, GATE_K), f"{base}/bundle")
+    bundle = tm.load_bundle(spark, f"{base}/bundle")
+    gated = inf.gated_inference(bundle, valid)
+    inf.write_predictions(gated, valid, FOUR, f"{base}/labels")
+    written = read_label_files(spark, f"{base}/labels").where("not is_first").select(
+        "pos", F.col("id").cast("bigint").alias("trial"), F.col("label").cast("int").alias("written")
+    )
+    border = gated.agg(
+        F.count_if("gated").alias("n_gated"),
+        F.max(F.when(F.col("gated"), F.col("confidence"))).alias("highest_gated"),
+    )
+    both = gated.join(written, "trial").join(F.broadcast(border))
+    picked = F.when(F.col("gated"), F.col("diverse_label")).otherwise(F.col("strong_label"))
+    return both.select(
+        "pos",
+        "trial",
+        F.col("written").isin(*FOUR).alias("in_domain"),
+        (F.col("written") == picked).alias("as_gated"),
+        (F.col("gated") | (F.col("confidence") >= F.col("highest_gated"))).alias("gate_holds_lowest"),
+        "n_gated",
+    )
+
+
+@query(
+    "leave_subjects_out",
+    """SELECT kind, CAST(vec_id % 10 AS INT) AS subject, count(*) AS n, TRUE AS scored
+    FROM embeddings, (VALUES ('csp_lda'), ('tangent'), ('xdawn')) AS k(kind) GROUP BY ALL""",
+)
+def leave_out_query(spark, sf_dir):
+    """Three classifiers, each trial scored by a model of the other subjects."""
+    out = None
+    for kind in ("csp_lda", "tangent", "xdawn"):
+        recipe = tm.TrialRecipe(kind, SIZE, STRIDE, FOUR)
+        voted = inf.leave_groups_out(v.trials(spark, sf_dir), recipe, range(10))
+        total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p)
+        part = voted.groupBy("subject").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.every((F.abs(total - 1) < 1e-9) & F.col("pred").isin(*FOUR)).alias("scored"),
+        )
+        part = part.select(F.lit(kind).alias("kind"), "subject", "n", "scored")
+        out = part if out is None else out.unionByName(part)
+    return out
