@@ -4,7 +4,7 @@ from importlib import import_module
 
 from turnspark.queries.registry import REGISTRY, SQL
 
-MODULES = ["text", "splits", "metrics", "ensembles", "duplicates", "trials", "models", "experiments", "sources", "streams"]
+MODULES = ["text", "splits", "metrics", "ensembles", "duplicates", "trials", "models", "equations", "experiments", "sources", "streams"]
 
 
 def load_all() -> None:

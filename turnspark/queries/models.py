@@ -190,7 +190,9 @@ def gated_query(spark, sf_dir):
     gated = inf.gated_inference(bundle, valid)
     inf.write_predictions(gated, valid, FOUR, f"{base}/labels")
     written = read_label_files(spark, f"{base}/labels").where("not is_first").select(
-        "pos", F.col("id").cast("bigint").alias("trial"), F.col("label").cast("int").alias("written")
+        "pos",
+        F.expr("try_cast(id AS BIGINT)").alias("trial"),
+        F.expr("try_cast(label AS INT)").alias("written"),
     )
     border = gated.agg(
         F.count_if("gated").alias("n_gated"),
