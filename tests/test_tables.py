@@ -280,6 +280,8 @@ def test_read_turns(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,text,label\n1,"a, ""b""",0\n2,,1\n')
     df = read_turns(spark, [str(tmp_path / "no.csv"), str(tmp_path / "t.csv")])
     assert [r["text"] for r in df.orderBy("id").collect()] == ['a, "b"', None]
+    (tmp_path / "m.csv").write_text('id,text,label\n1,"a\nb",0\n')
+    assert read_turns(spark, [str(tmp_path / "m.csv")], multi_line=True).first()["text"] == "a\nb"
     with pytest.raises(FileNotFoundError):
         read_turns(spark, [str(tmp_path / "no.csv")])
 

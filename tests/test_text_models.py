@@ -94,6 +94,13 @@ def test_cross_validate_and_stack(spark):
     assert oof.count() == 2 * data.count()
     _, stacked = tm.stack_oof(oof, ["a", "b"])
     assert stacked.count() == data.count()
+    wide = oof.groupBy("id", "label").pivot("model", ["a", "b"]).agg(F.first("score"))
+    rows = wide.join(stacked.select("id", "fold", "score"), "id").toPandas()
+    for fold in (0, 4):
+        inside = rows["fold"] == fold
+        alone, _ = tm.stack_oof(oof.join(stacked.where(f"fold <> {fold}").select("id"), "id"), ["a", "b"])
+        value = rows.loc[inside, ["a", "b"]].to_numpy() @ alone.coefficients.toArray() + alone.intercept
+        assert np.allclose(1 / (1 + np.exp(-value)), rows.loc[inside, "score"], atol=1e-6)
     _, labels = sw.fit_full_and_predict(data, data.select("id", "text"), b, 0.2)
     assert labels.where("tuned_label > default_label").count() == 0
 

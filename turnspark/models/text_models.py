@@ -38,6 +38,7 @@ from turnspark.functions.text import (
 )
 from turnspark.lineage import cut_lineage
 from turnspark.operators.balance import balanced_weights, random_oversample
+from turnspark.operators.splits import stratified_kfold
 from turnspark.skew import spread_rows
 
 ALL_TERMS = (1 << 31) - 1  # the largest count that the vectoriser's parameter can hold
@@ -311,25 +312,36 @@ def fit_text_model(train: DataFrame, recipe: TextRecipe, seed: int = 42) -> Text
     return TextModel(features, fit_classifier(vectors, recipe.classifier))
 
 
-def stack_oof(oof: DataFrame, models: list[str], c: float = 1.0):
+def stack_oof(
+    oof: DataFrame, models: list[str], c: float = 1.0, folds: int = 5, seed: int = 42
+) -> tuple[object, DataFrame]:
     """Logistic regression on the models' out-of-fold scores; returns (model, scored rows).
 
-    ``oof`` has model, id, label, score with one row per model and id.
+    ``oof`` has model, id, label, score with one row per model and id. The returned model is fitted on
+    all rows, for new data; each row (id, label, fold, score) is scored by a stacker that was fitted on
+    the other folds.
     """
     wide = oof.groupBy("id", "label").agg(
         *[F.max(F.when(F.col("model") == n, F.col("score"))).alias(f"m{i}") for i, n in enumerate(models)]
     )
     names = [f"m{i}" for i in range(len(models))]
-    data = cut_lineage(
-        VectorAssembler(inputCols=names, outputCol="features").transform(wide)
-    )
-    fitted = LogisticRegression(
-        featuresCol="features",
-        labelCol="label",
-        regParam=1.0 / (c * data.count()),
-        standardization=False,
-    ).fit(data)
-    scored = fitted.transform(data).select(
-        "id", "label", F.get(vector_to_array("probability"), 1).alias("score")
-    )
-    return fitted, scored
+    placed = stratified_kfold(wide, folds, seed)
+    data = cut_lineage(VectorAssembler(inputCols=names, outputCol="features").transform(placed))
+
+    def fit(rows: DataFrame):
+        estimator = LogisticRegression(
+            featuresCol="features",
+            labelCol="label",
+            regParam=1.0 / (c * rows.count()),
+            standardization=False,
+        )
+        return estimator.fit(rows)
+
+    scored = None
+    for fold in range(folds):
+        inside = F.col("fold") == fold
+        part = fit(data.where(~inside)).transform(data.where(inside)).select(
+            "id", "label", "fold", F.get(vector_to_array("probability"), 1).alias("score")
+        )
+        scored = part if scored is None else scored.unionByName(part)
+    return fit(data), scored

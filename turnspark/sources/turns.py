@@ -24,14 +24,20 @@ TURN_SCHEMA = T.StructType(
 
 
 def read_turns(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read the first location that exists; Parquet by suffix, otherwise CSV with a header."""
+    """Read the first location that exists; Parquet by suffix, otherwise CSV with a header.
+
+    ``multi_line`` allows line breaks inside quoted CSV texts; each file is then read by one task.
+    """
     for path in paths:
         try:
             if path.rstrip("/").endswith(".parquet"):
                 return spark.read.parquet(path)
-            reader = spark.read.option("header", True).option("multiLine", True)
+            reader = spark.read.option("header", True).option("multiLine", multi_line)
             reader = reader.option("escape", '"')
             return reader.schema(schema).csv(path) if schema else reader.csv(path)
         except AnalysisException as error:
