@@ -11,8 +11,9 @@ from turnspark.operators import duplicates as du
 from turnspark.operators import near as nr
 from turnspark.operators import thresholds as th
 from turnspark.operators.splits import stratified_holdout
-from turnspark.plans.candidates import run_summary
+from turnspark.plans.candidates import as_json, run_summary
 from turnspark.queries import views as v
+from turnspark.queries.metrics import PROB_GRID, sql_sweep
 from turnspark.queries.registry import query
 from turnspark.ranking import position_rows
 
@@ -258,14 +259,43 @@ def first_n_query(spark, sf_dir):
       count(*) FILTER (applied) AS applied_overrides FROM report""".replace("prob,\n    low", "0 AS prob,\n    low"),
 )
 def run_summary_query(spark, sf_dir):
-    members = th.tune_threshold_probs(v.labelled_scores(spark, sf_dir), "prob").select(
-        F.lit("full").alias("name"), "threshold", F.col("macro_f1").alias("tuned_f1")
+    shapes = ["train_rows", "train_label0", "train_label1", "test_rows"]
+    return whole_summary(spark, sf_dir).select(*shapes, "transfer.*")
+
+
+@query(
+    "run_summary_members",
+    f"""WITH {v.SQL_LABELLED},
+    m AS (SELECT 'full' AS name, id, label, prob AS score FROM labelled
+          UNION ALL SELECT 'short', id, label, prob_short FROM labelled),
+    {sql_sweep('m', PROB_GRID, 'name')},
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY macro_f1 DESC, threshold) AS r FROM swept)
+    SELECT (SELECT count(*) FROM turns) AS train_rows, name, round(threshold, 6) AS threshold,
+      round(macro_f1, 6) AS tuned_f1 FROM r WHERE r = 1""",
+)
+def summary_members_query(spark, sf_dir):
+    """The members of the summary, read back from its JSON document."""
+    summary = whole_summary(spark, sf_dir)
+    read = as_json(summary).select(F.from_json("summary", summary.schema).alias("s"))
+    rows = read.select("s.train_rows", F.explode("s.members").alias("m"))
+    rounded = [F.round(f"m.{c}", 6).alias(c) for c in ("threshold", "tuned_f1")]
+    return rows.select("train_rows", "m.name", *rounded)
+
+
+def whole_summary(spark, sf_dir):
+    """Shapes, two tuned members and transfer counts as one nested row."""
+    scores = v.labelled_scores(spark, sf_dir)
+    named = F.array(
+        F.struct(F.lit("full").alias("name"), "prob"),
+        F.struct(F.lit("short").alias("name"), F.col("prob_short").alias("prob")),
+    )
+    each = scores.select("id", "label", F.explode(named).alias("m")).select("id", "label", "m.*")
+    members = th.tune_threshold_probs(each, "prob", by=["name"]).select(
+        "name", "threshold", F.col("macro_f1").alias("tuned_f1")
     )
-    summary = run_summary(
+    return run_summary(
         v.turns(spark, sf_dir), v.unlabelled(spark, sf_dir), members, report(spark, sf_dir)
     )
-    shapes = ["train_rows", "train_label0", "train_label1", "test_rows"]
-    return summary.select(*shapes, "transfer.*")
 
 
 @query("near_duplicate_transfer")

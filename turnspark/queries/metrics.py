@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from turnspark.functions.scores import (
     argmax_label,
+    binary_score,
     confidence,
     labels_from_scores,
     margin,
@@ -50,6 +52,25 @@ def labels_query(spark, sf_dir):
     )
 
 
+@query(
+    "binary_score",
+    f"""WITH {L} SELECT id, round(ln(prob / (1 - prob)), 6) AS decision, prob AS class1 FROM labelled""",
+)
+def binary_query(spark, sf_dir):
+    """The one number per row behind two-class raw predictions and probabilities."""
+    logit = F.log(F.col("prob") / (1 - F.col("prob")))
+    outputs = v.labelled_scores(spark, sf_dir).select(
+        "id",
+        array_to_vector(F.array(-logit, logit)).alias("raw"),
+        array_to_vector(F.array(1 - F.col("prob"), "prob")).alias("probability"),
+    )
+    return outputs.select(
+        "id",
+        F.round(binary_score(F.col("raw")), 6).alias("decision"),
+        binary_score(F.col("probability")).alias("class1"),
+    )
+
+
 @query(
     "margin",
     f"WITH {L} SELECT id, round(abs(prob - 0.46::DOUBLE), 6) AS margin FROM labelled",
