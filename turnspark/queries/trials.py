@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from turnspark.functions import signals
-from turnspark.functions.filters import band_without_hum
+from turnspark.functions.filters import band_without_hum, butter_bandpass, run_filter
 from turnspark.operators import trials as tr
+from turnspark.operators.recordings import filter_recordings
 from turnspark.queries import views as v
 from turnspark.queries.registry import query
 
@@ -240,6 +242,55 @@ def filter_query(spark, sf_dir):
     return long_form(out, ["trial"])
 
 
+RECORDING_DESIGN = butter_bandpass(1, 20.0, 100.0, 250.0)
+RECORDING_TAPS = 64  # the design's response has shrunk below 1e-15 of its start by then
+
+
+def _sql_recordings() -> str:
+    """Both directions as sums over the impulse response.
+
+    A filter that starts in its steady state acts as if the first sample had always been there,
+    so places before the first sample read that sample.
+    """
+    pulse = np.zeros((1, RECORDING_TAPS))
+    pulse[0, 0] = 1.0
+    b, a = RECORDING_DESIGN
+    taps = run_filter(b, a, pulse, np.zeros((1, len(a) - 1)))[0]
+    pad = 3 * len(a)
+    gain = float(sum(b) / sum(a))
+    return f"""WITH h AS (SELECT unnest(range(0, {RECORDING_TAPS})) AS k, unnest({taps.tolist()}::DOUBLE[]) AS w),
+    cells AS (SELECT vec_id % 10 AS subject, vec_id // 10 * 64 + unnest(range(0, 64)) AS t,
+                     unnest(embedding)::DOUBLE AS v FROM embeddings),
+    ends AS (SELECT subject, min(t) AS lo, max(t) AS hi, arg_min(v, t) AS v_lo, arg_max(v, t) AS v_hi FROM cells GROUP BY ALL),
+    wide AS (SELECT subject, t, v FROM cells
+      UNION ALL SELECT subject, 2 * lo - t, 2 * v_lo - v FROM cells JOIN ends USING (subject) WHERE t > lo AND t <= lo + {pad}
+      UNION ALL SELECT subject, 2 * hi - t, 2 * v_hi - v FROM cells JOIN ends USING (subject) WHERE t < hi AND t >= hi - {pad}),
+    forth_rest AS (SELECT subject, min(t) AS edge, arg_min(v, t) AS c FROM wide GROUP BY subject),
+    forth AS (SELECT w.subject, w.t + h.k AS t, sum(h.w * (w.v - r.c)) AS y
+      FROM wide w JOIN forth_rest r USING (subject), h GROUP BY w.subject, w.t + h.k),
+    there AS (SELECT w.subject, w.t, f.y + r.c * {gain!r}::DOUBLE AS v
+      FROM wide w JOIN forth f USING (subject, t) JOIN forth_rest r USING (subject)),
+    back_rest AS (SELECT subject, max(t) AS edge, arg_max(v, t) AS c FROM there GROUP BY subject),
+    back AS (SELECT w.subject, w.t - h.k AS t, sum(h.w * (w.v - r.c)) AS y
+      FROM there w JOIN back_rest r USING (subject), h GROUP BY w.subject, w.t - h.k)
+    SELECT c.subject, c.t, round(b.y + r.c * {gain!r}::DOUBLE, 6) AS v
+    FROM cells c JOIN back b USING (subject, t) JOIN back_rest r USING (subject)"""
+
+
+@query("filter_recordings", _sql_recordings())
+def recordings_query(spark, sf_dir):
+    """The vectors of ten subjects as consecutive chunks of ten long recordings, band-passed."""
+    vec = F.col("vec_id")
+    chunks = v.table(spark, sf_dir, "embeddings").select(
+        (vec % 10).alias("subject"),
+        (F.floor(vec / 10) * 64).cast("long").alias("start"),
+        F.array(F.col("embedding").cast("array<double>")).alias("x"),
+    )
+    out = filter_recordings(chunks, [RECORDING_DESIGN], ["subject"])
+    samples = out.select("subject", "start", F.posexplode(F.get("x", 0)).alias("i", "v"))
+    return samples.select("subject", (F.col("start") + F.col("i")).alias("t"), F.round("v", 6).alias("v"))
+
+
 SQL_WINDOW_SCORES = f"""{v.SQL_WINDOWS},
 feat AS (SELECT trial, y, start, ch, avg(v) AS f FROM windows GROUP BY ALL),
 cent AS (SELECT y AS cls, ch, avg(f) AS c FROM feat GROUP BY ALL),
