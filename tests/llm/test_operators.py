@@ -226,6 +226,46 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(lattice.log_scores(some, probs)[:, 0]), [total(w) for w in some])
 
 
+def test_long_runs_are_summed_whole():
+    order = sorted(["a", "b", "ab", "ba", "aba", "bbab"])
+    lattice = langid.Lattice(order)
+    probs = np.array([[0.3, 0.2, 0.15, 0.1, 0.1, 0.1, 0.05, 0.0], [0.1, 0.1, 0.3, 0.2, 0.2, 0.05, 0.05, 0.0]])
+    some = ["".join(rng.choice("abbac") for _ in range(n)) for n in (langid.LONG, langid.LONG + 1, 3 * langid.LONG)]
+
+    def total(word, p):
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[end - n] * (p[order.index(w)] if w in order else p[6] if n == 1 else 0) for n in range(1, min(4, end) + 1) for w in [word[end - n : end]]))
+        return np.log(sums[-1])
+
+    assert np.allclose(lattice.log_scores(some, probs), [[total(w, p) for p in probs] for w in some])
+    # counts of long runs by positions equal those of the block sums, and do not depend on the stretch
+    whole = lattice.expected(some[:1], np.ones(1), probs[0])
+    assert np.allclose(lattice.run_expected(some[0], probs[0]), whole)
+    longest = lattice.run_expected(some[2], probs[0])
+    old, langid.STRETCH = langid.STRETCH, 7
+    try:
+        assert np.allclose(lattice.run_expected(some[2], probs[0]), longest)
+        assert np.allclose(lattice.log_scores(some, probs), [[total(w, p) for p in probs] for w in some])
+    finally:
+        langid.STRETCH = old
+    assert np.isfinite(lattice.log_scores(["ab" * 50_000], probs)).all()
+
+
+def test_score_turns_strangers_away(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    words = ["the", "water", "house", "river", "with", "under", "morning", "people"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(300)]
+    rows += [(1000, "xkqzv jjqw pqrx zzkt bvvx qwrtp", None), (1001, "Привет мир как дела сегодня", None), (1002, "日本語の文章です", None)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(300))
+
+
+def test_every_letter_piece_is_used():
+    pieces = langid.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 10 and all(p.removeprefix(langid.START).isalpha() for p in pieces)
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.packed_documents(docs, path).collect()

@@ -21,35 +21,28 @@ UNKNOWN = "und"
 #: Fitting bound: this many labelled texts per language are expected, drawn by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
-MAX_PIECE = 6  # longest piece in characters, word start included
-BLOCK = 48  # letter runs beyond this are scored block by block, whole runs always count
+LONG = 64  # runs beyond this many characters are summed one by one, position after position
+STRETCH = 4096  # positions of a long run whose pieces are looked up at once
 SMOOTH = 0.5
 SCALE = 24.0  # per-character factor that keeps forward sums near one
-CACHE_WORDS = 400_000
+CACHE_CHARS = 4_000_000  # characters of the words a worker keeps scores of
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def public_pieces(path: str, longest: int = MAX_PIECE) -> list[str]:
-    """Pieces of the public vocabulary that consist of letters, perhaps after a word start."""
+def public_pieces(path: str) -> list[str]:
+    """All pieces of the public vocabulary that consist of letters, perhaps after a word start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p.lower() for p in pieces if len(p) <= longest and WORD.fullmatch(p.removeprefix(START))})
+    return sorted({p.lower() for p in pieces if p.lower().removeprefix(START).isalpha()})
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs, marked at the start and cut into blocks of BLOCK characters."""
-    out = []
+    """Lower-cased letter runs, marked at the start."""
     runs = WORD.findall(text.lower())
     if not all(run.isalpha() for run in runs):  # signs such as fractions and powers are no letters
         runs = "".join(c if c.isalpha() else " " for run in runs for c in f"{run} ").split()
-    for run in runs:
-        word = START + run
-        if len(word) <= BLOCK:
-            out.append(word)
-        else:
-            out.extend(word[i : i + BLOCK] for i in range(0, len(word), BLOCK))
-    return out
+    return [START + run for run in runs]
 
 
 class Lattice:
@@ -115,21 +108,82 @@ class Lattice:
         return alpha
 
     def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, character codes) for the words of each length, in blocks."""
+        """(places, character codes) for the words of each length up to LONG, in blocks."""
         lengths = np.array([len(w) for w in words])
-        for n in np.unique(lengths):
+        for n in np.unique(lengths[lengths <= LONG]):
             places = np.nonzero(lengths == n)[0]
-            for low in range(0, len(places), 8192):
-                some = places[low : low + 8192]
+            rows = min(8192, (1 << 17) // int(n))
+            for low in range(0, len(places), rows):
+                some = places[low : low + rows]
                 text = "".join([words[i] for i in some])
                 yield some, np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(-1, n).astype(np.uint64)
 
+    def _starting(self, codes: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(longest, high - low): piece of n + 1 characters that starts at each place of a long run, or -1."""
+        out = np.full((self.longest, high - low), -1)
+        for n, (keys, numbers) in enumerate(self.tables, 1):
+            part = codes[low : min(high + n - 1, len(codes))]
+            if len(keys) and len(part) >= n:
+                key = self._keys(np.lib.stride_tricks.sliding_window_view(part, n), n)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                out[n - 1, : len(key)] = np.where(keys[at] == key, numbers[at], -1)
+        out[0] = np.where(out[0] < 0, self.unknown, out[0])
+        return out
+
+    def run_forward(self, codes: np.ndarray, probs: np.ndarray) -> Iterator[np.ndarray]:
+        """log alpha[e] of (languages,) for e = 1, 2, ... of one run of any length.
+
+        Only the sums that pieces still reach into are carried, each time divided by the current one.
+        """
+        logs = np.zeros(len(probs))
+        ahead = np.zeros((self.longest, len(probs)))
+        for low in range(0, len(codes), STRETCH):
+            high = min(low + STRETCH, len(codes))
+            steps = probs[:, self._starting(codes, low, high)].transpose(2, 1, 0)
+            for step in steps:
+                ahead[:-1] = ahead[1:]
+                ahead[-1] = 0.0
+                ahead += step
+                value = ahead[0].copy()
+                ahead /= value
+                logs = logs + np.log(value)
+                yield logs
+
+    def run_expected(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """Expected piece counts of one long run under one language."""
+        codes = self._code(word)[0].astype(np.uint64)
+        n = len(codes)
+        alpha = np.zeros(n + 1)
+        for e, logs in enumerate(self.run_forward(codes, probs[None]), 1):
+            alpha[e] = logs[0]
+        counts = np.zeros(self.size + 1)
+        after = np.zeros(self.longest)  # beta of the next places over that of the next one
+        after[0] = 1.0
+        log_beta = 0.0
+        for low in range((n - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            ids = self._starting(codes, low, min(low + STRETCH, n))
+            chances = probs[ids]
+            for i in range(ids.shape[1] - 1, -1, -1):
+                terms = chances[:, i] * after
+                value = terms.sum()
+                share = terms * np.exp(alpha[low + i] + log_beta - alpha[n])
+                np.add.at(counts, np.maximum(ids[:, i], 0), np.where(ids[:, i] < 0, 0.0, share))
+                after[1:] = after[:-1].copy()
+                after[0] = value
+                after /= value
+                log_beta += np.log(value)
+        return counts
+
     def log_scores(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """(words, languages) log probability of each word, all segmentations summed."""
         out = np.zeros((len(words), len(probs)))
         for places, codes in self.by_length(words):
             alpha = self.forward(self.ids(codes), probs)[-1]
             out[places] = (np.log(alpha) - codes.shape[1] * np.log(SCALE)).T
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                for logs in self.run_forward(self._code(word)[0].astype(np.uint64), probs):
+                    out[i] = logs
         return out
 
     def expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -151,6 +205,9 @@ class Lattice:
                     piece = ids[n - 1][i]
                     share = alpha[i][0] * probs[piece] * SCALE**n * beta[i + n] * weight
                     counts += np.bincount(np.maximum(piece, 0), np.where(piece < 0, 0, share), self.size + 1)
+        for word, weight in zip(words, weights):
+            if len(word) > LONG:
+                counts += weight * self.run_expected(word, probs)
         return counts
 
 
@@ -162,6 +219,22 @@ class LanguageModel:
     pieces: list[str]
     probs: np.ndarray
 
+    def characters(self) -> tuple[dict[str, int], np.ndarray]:
+        """Places of the characters and their log probabilities in each language, in the last place for unknown ones.
+
+        These are the characters of the language's own pieces, drawn one by one: what a text looks
+        like that has its letters, but neither its words nor parts of them.
+        """
+        places: dict[str, int] = {c: i for i, c in enumerate(sorted(set("".join(self.pieces))))}
+        lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        piece = np.repeat(np.arange(len(self.pieces)), lengths)
+        place = np.array([places[c] for p in self.pieces for c in p], dtype=np.int64)
+        counts = np.zeros((len(self.probs), len(places) + 1))
+        for row, probs in zip(counts, self.probs):
+            row[:-1] = np.bincount(place, probs[piece], len(places))
+            row[-1] = probs[len(self.pieces)]
+        return places, np.log(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300))
+
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
@@ -226,34 +299,51 @@ def fit(rows: DataFrame, pieces: list[str], sample: int = SAMPLE_PER_LANGUAGE, r
 
 
 class _Scorer:
-    """Word scores of one worker, kept from batch to batch up to CACHE_WORDS words."""
+    """Word scores of one worker, kept from batch to batch up to CACHE_CHARS characters."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, Lattice(model.pieces)
+        self.letters, self.letter_logs = model.characters()
+        even = np.append(np.full(self.lattice.size + 1, 1.0 / (self.lattice.size + 1)), 0.0)
+        self.probs = np.concatenate([model.probs, even[None]])
         self.places: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.chars = 0
+        self.scores = np.zeros((0, 2 * len(model.languages) + 1))
+
+    def _fresh(self, words: list[str]) -> np.ndarray:
+        """(words, 2 x languages + 1): log probability by pieces, by equally likely pieces, by characters one by one."""
+        get, unknown = self.letters.get, len(self.letters)
+        text = "".join(words)
+        places = np.fromiter((get(c, unknown) for c in text), dtype=np.int64, count=len(text))
+        ends = np.cumsum([len(w) for w in words])
+        plain = np.stack([np.add.reduceat(logs[places], np.append(0, ends[:-1])) for logs in self.letter_logs], axis=1)
+        return np.concatenate([self.lattice.log_scores(words, self.probs), plain], axis=1)
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = [words_of(t or "") for t in texts]
-        if len(self.places) > CACHE_WORDS:
-            self.places, self.scores = {}, self.scores[:0]
+        if self.chars > CACHE_CHARS:
+            self.places, self.scores, self.chars = {}, self.scores[:0], 0
         known = len(self.places)
         places = self.places
         flat = np.fromiter((places.setdefault(w, len(places)) for some in words for w in some), dtype=np.int64)
         if len(places) > known:
             fresh = _tail(places, known)
-            self.scores = np.concatenate([self.scores, self.lattice.log_scores(fresh, self.model.probs)])
-        names, best = [], np.zeros(len(texts))
+            self.chars += sum(map(len, fresh))
+            if self.model.languages:
+                self.scores = np.concatenate([self.scores, self._fresh(fresh)])
+        names, best, many = [], np.zeros(len(texts)), len(self.model.languages)
         low = 0
         for i, some in enumerate(words):
             high = low + len(some)
             if high == low or not self.model.languages:
                 names.append(UNKNOWN)
             else:
-                total = self.scores[flat[low:high]].sum(axis=0)
-                weight = np.exp(total - total.max())
-                names.append(self.model.languages[int(total.argmax())])
-                best[i] = weight.max() / weight.sum()
+                total, even, plain = np.split(self.scores[flat[low:high]].sum(axis=0), [many, many + 1])
+                likeliest = int(total.argmax())
+                share = 1.0 / np.exp(total - total[likeliest]).sum()
+                names.append(self.model.languages[likeliest])
+                gain = (total[likeliest] - max(plain[likeliest], even[0])) / (high - low)
+                best[i] = share / (1.0 + np.exp(-max(gain, -500.0)))
             low = high
         return names, best
 
@@ -272,9 +362,12 @@ def _tail(places: dict[str, int], known: int) -> list[str]:
 
 
 def predictor(model: LanguageModel):
-    """Column function text -> struct(lang_pred, score): the likeliest language and its share.
+    """Column function text -> struct(lang_pred, score): the likeliest language and how sure it is.
 
-    Null texts and texts without a letter get ``und`` and score zero.
+    The score is the language's share among all, times its share, for the text's average word,
+    against the likelier of two strangers: the language's characters drawn one by one (letters
+    without words) and all pieces drawn alike (scripts and words it has not seen). So texts that resemble no learned
+    language score low whichever of them is nearest. Null texts and texts without a letter get ``und`` and score zero.
     """
     name = uuid.uuid4().hex
 
@@ -323,7 +416,7 @@ def identify(docs: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAGE
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """Rows of ``docs`` whose language is found with a share of at least ``least``; all columns stay."""
+    """Rows of ``docs`` whose language is found with a score of at least ``least``; all columns stay."""
     predict = predictor(fit_documents(docs, vocabulary, sample))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("found", predict(F.col("row.text").cast("string")))
