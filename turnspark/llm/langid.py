@@ -25,6 +25,7 @@ LONG = 64  # runs beyond this many characters are summed one by one, position af
 STRETCH = 4096  # positions of a long run whose pieces are looked up at once
 SMOOTH = 0.5
 SCALE = 24.0  # per-character factor that keeps forward sums near one
+KEPT = 0.1  # rows go where strangers are nine times as likely; short clean texts may score below a half
 CACHE_CHARS = 4_000_000  # characters of the words a worker keeps scores of
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
@@ -415,7 +416,7 @@ def identify(docs: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAGE
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def keep_identified(docs: DataFrame, vocabulary: str, least: float = KEPT, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Rows of ``docs`` whose language is found with a score of at least ``least``; all columns stay."""
     predict = predictor(fit_documents(docs, vocabulary, sample))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
