@@ -219,8 +219,9 @@ def filter_recordings(
     empty table gives an empty one. Chunks that overlap (repeated rows do) or leave a gap raise,
     as does a recording that is not longer than a filter's edge.
 
-    A pass shuffles the samples once, by recording and place, so a long recording spreads over all
-    tasks. The driver sees one number, the longest recording's length.
+    Each direction shuffles the samples by recording and place, so a long recording spreads over
+    all tasks; finding the chunks at the ends may shuffle them once more for each design. The driver
+    sees one number, the longest recording's length.
     """
     keys = list(keys)
     others = [c for c in df.columns if c not in (*keys, start, x)]
