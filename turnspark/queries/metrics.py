@@ -10,6 +10,7 @@ from turnspark.functions.scores import (
     binary_score,
     confidence,
     labels_from_scores,
+    logit,
     margin,
     softmax,
 )
@@ -58,10 +59,10 @@ def labels_query(spark, sf_dir):
 )
 def binary_query(spark, sf_dir):
     """The one number per row behind two-class raw predictions and probabilities."""
-    logit = F.log(F.col("prob") / (1 - F.col("prob")))
+    odds = logit(F.col("prob"))
     outputs = v.labelled_scores(spark, sf_dir).select(
         "id",
-        array_to_vector(F.array(-logit, logit)).alias("raw"),
+        array_to_vector(F.array(-odds, odds)).alias("raw"),
         array_to_vector(F.array(1 - F.col("prob"), "prob")).alias("probability"),
     )
     return outputs.select(
