@@ -25,3 +25,9 @@ def test_binary_score(spark, folder):
     assert len(rows) == 150
     assert all(rows[i]["class1"] == 1.0 and rows[i]["decision"] == math.inf for i in (0, 2))
     assert all(math.isfinite(r["decision"]) for i, r in rows.items() if i > 2)
+
+
+def test_labels_from_scores(spark, folder):
+    rows = REGISTRY["labels_from_scores"](spark, folder).collect()
+    assert len(rows) == 150
+    assert all(r["above_zero"] == int(r["prob"] > 0.5) for r in rows)

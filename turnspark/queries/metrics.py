@@ -44,12 +44,11 @@ SQL_FOLDED = f"""folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY labe
         (ln(prob / (1 - prob)) > 0)::INT AS above_zero FROM labelled""",
 )
 def labels_query(spark, sf_dir):
-    logit = F.log(F.col("prob") / (1 - F.col("prob")))
     return v.labelled_scores(spark, sf_dir).select(
         "id",
         "prob",
         labels_from_scores(F.col("prob"), 0.6).alias("at_least"),
-        labels_from_scores(logit, 0.0, strict=True).alias("above_zero"),
+        labels_from_scores(logit(F.col("prob")), 0.0, strict=True).alias("above_zero"),
     )
 
 
