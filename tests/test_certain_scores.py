@@ -31,3 +31,8 @@ def test_labels_from_scores(spark, folder):
     rows = REGISTRY["labels_from_scores"](spark, folder).collect()
     assert len(rows) == 150
     assert all(r["above_zero"] == int(r["prob"] > 0.5) for r in rows)
+
+
+def test_pseudo_label_counts(spark, folder):
+    rows = REGISTRY["pseudo_label_counts"](spark, folder).collect()
+    assert len(rows) == 3 and all(r["positive"] >= 2 for r in rows)

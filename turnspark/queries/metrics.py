@@ -263,9 +263,7 @@ def confidence_query(spark, sf_dir):
     FROM z CROSS JOIN cuts GROUP BY cut""",
 )
 def pseudo_query(spark, sf_dir):
-    sharpened = F.round(
-        1 / (1 + F.exp(-6 * F.log(F.col("prob") / (1 - F.col("prob"))))), 6
-    )
+    sharpened = F.round(1 / (1 + F.exp(-6 * logit(F.col("prob")))), 6)
     scores = v.unlabelled_scores(spark, sf_dir).select(sharpened.alias("prob"))
     return m.pseudo_label_counts(scores)
 
