@@ -384,8 +384,8 @@ SCORE_GRID = """o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS r,
 
 
 def signed_scores(spark, sf_dir):
-    logit = F.round(F.log(F.col("prob") / (1 - F.col("prob"))), 6)
-    return v.labelled_scores(spark, sf_dir).select("id", "label", logit.alias("score"))
+    odds = F.round(logit(F.col("prob")), 6)
+    return v.labelled_scores(spark, sf_dir).select("id", "label", odds.alias("score"))
 
 
 @query(
