@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnspark.functions.text import word_ngrams
 from turnspark.operators import tfidf as tf
+from turnspark.plans import shared_sweep as ss
 
 
 def test_texts_are_spread_by_their_size(spark):
@@ -13,3 +14,19 @@ def test_texts_are_spread_by_their_size(spark):
         counts = tf.term_counts(df, word_ngrams(F.col("text"), 1, 1))
         assert counts.agg(F.sum("c")).first()[0] >= 80_000
     assert tf.term_counts(texts, word_ngrams(F.col("text"), 1, 1)).select(F.spark_partition_id().alias("p")).distinct().count() > small
+
+
+def _turns(spark):
+    rows = [(i, " ".join(["red fox ran", "blue cat sat", "old dog"][i % 3 :]) + f" x{i % 5}", int(i % 4 < 2)) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, text string, label int")
+
+
+def test_only_used_units_are_counted(spark):
+    words = ss.prepare(_turns(spark), [ss.Config("w", (1, 2))], 3, 7)
+    kinds = {(r["unit"], r["size"]) for r in words.vocabulary.collect()}
+    assert kinds == {("word", 1), ("word", 2)}
+    others = spark.createDataFrame([(100, "a red fox"), (101, "")], "id long, text string")
+    cues = ss.Config("cues", cues=True, loss="logistic", weights=True)
+    assert ss.prepare(_turns(spark), [cues], 3, 7, others).vocabulary.isEmpty()
+    predicted, own = ss.bagged_predict(_turns(spark), others, cues, 3, 7)
+    assert predicted.count() == 2 and own.count() == 60
