@@ -1,8 +1,14 @@
 """What a step holds or stores must not grow faster than its input."""
 
+import os
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from turnspark.functions.text import word_ngrams
+from turnspark.lineage import cut_lineage, ensure_checkpoint_dir
+from turnspark.models import trial_models as tm
 from turnspark.operators import tfidf as tf
 from turnspark.plans import shared_sweep as ss
 
@@ -30,3 +36,23 @@ def test_only_used_units_are_counted(spark):
     assert ss.prepare(_turns(spark), [cues], 3, 7, others).vocabulary.isEmpty()
     predicted, own = ss.bagged_predict(_turns(spark), others, cues, 3, 7)
     assert predicted.count() == 2 and own.count() == 60
+
+
+@pytest.mark.parametrize("kind", ["csp_lda", "tangent", "mdm", "xdawn"])
+def test_fits_on_stored_windows_store_nothing_more(spark, kind):
+    """Ten fits of wide features once left ten copies of them in the checkpoint folder."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, i, i % 2, (rng.normal(size=(3, 16)) * (1 + i % 2)).tolist()) for i in range(60)]
+    trials = spark.createDataFrame(rows, "subject int, trial long, y int, x array<array<double>>")
+    recipe = tm.TrialRecipe(kind, 8, 4, (0, 1), 2)
+    windows = cut_lineage(recipe.windows(trials))
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def stored() -> int:
+        return sum(name.startswith("part-") for _, _, names in os.walk(folder) for name in names)
+
+    before = stored()
+    assert before > 0
+    model = recipe.fit(windows)
+    again = stored()
+    assert model.score(windows).count() == windows.count() and again == before
