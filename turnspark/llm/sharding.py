@@ -17,6 +17,7 @@ SHARDS = 24
 OVERHEAD = 8  # bytes counted for each document beside its text
 TASK_GROUPS = 50_000  # expected groups that one task differences
 FAN_IN = 512  # partial partitions that one task combines
+EXCHANGES = 200  # of two parts between two sums, after differencing
 
 
 def difference(parts: list[list[int]], shards: int) -> tuple[list[int], list[list[int]]]:
@@ -24,6 +25,7 @@ def difference(parts: list[list[int]], shards: int) -> tuple[list[int], list[lis
 
     ``parts`` holds at most ``shards`` sums each (a group is a part with one sum). The two parts
     with the largest spread are always joined, largest sums with smallest ones, until one is left.
+    Exchanges with the largest or the smallest sum then narrow what spread is left.
     """
     heap, parents = [], []  # parents[i]: (partial, slot order) that part or partial i went into
 
@@ -52,7 +54,47 @@ def difference(parts: list[list[int]], shards: int) -> tuple[list[int], list[lis
         if parents[number] is not None:
             up, order = parents[number]
             where[number] = where[up][order]
-    return heap[0][2].tolist(), [where[i][: len(p)].tolist() for i, p in enumerate(parts)]
+    sums = _exchange(heap[0][2], parts, where)
+    return sums.tolist(), [where[i][: len(p)].tolist() for i, p in enumerate(parts)]
+
+
+def _exchange(sums: np.ndarray, parts: list[list[int]], where: list) -> np.ndarray:
+    """Let two parts at a time trade their places in a larger and a smaller sum, the largest or smallest being one of them."""
+    sums = sums.copy()
+    held = np.zeros((len(parts) + 1, len(sums)), dtype=np.int64)  # the last row is no part: one may trade alone
+    for i, p in enumerate(parts):
+        held[i, where[i][: len(p)]] = p
+    for _ in range(EXCHANGES):
+        ranked = np.argsort(sums, kind="stable")
+        pairs = [(ranked[-1], x) for x in ranked[:-1]] + [(x, ranked[0]) for x in ranked[:0:-1]]
+        found = next(filter(None, (_trade(held[:, a] - held[:, b], int(sums[a] - sums[b]), a, b) for a, b in pairs)), None)
+        if found is None:
+            break
+        top, low, numbers, total = found
+        for number in numbers:
+            held[number, [top, low]] = held[number, [low, top]]
+            if number < len(parts):
+                old = where[number]
+                where[number] = np.where(old == top, low, np.where(old == low, top, old))
+        sums[top] -= total
+        sums[low] += total
+    return sums
+
+
+def _trade(moved: np.ndarray, gap: int, top: int, low: int) -> tuple | None:
+    """(top, low, two parts, what they move) that narrows the gap most, if any two do."""
+    if gap < 2:
+        return None
+    order = np.argsort(moved, kind="stable")
+    sizes = moved[order]
+    near = np.searchsorted(sizes, gap // 2 - sizes)
+    mates = np.stack([near - 1, near, near + 1]).clip(0, len(order) - 1)
+    total = sizes[mates] + sizes
+    useful = (total > 0) & (total < gap) & (mates != np.arange(len(order)))
+    if not useful.any():
+        return None
+    k, i = np.unravel_index(np.argmin(np.where(useful, np.abs(2 * total - gap), np.iinfo(np.int64).max)), total.shape)
+    return top, low, (order[i], order[mates[k, i]]), int(total[k, i])
 
 
 def _combine(shards: int) -> Callable:
