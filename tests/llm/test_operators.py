@@ -295,6 +295,29 @@ def test_genetic_algorithm_keeps_items_and_capacity():
     assert len(set(genome)) <= len(plain.bins)
 
 
+def test_packing_tokenises_letters_once(monkeypatch):
+    """Words that differ in case and marks share the ids of their letters, and the ids are those of the whole word."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    (plain, closes), asked = packing._tokenizer(source), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(t for text in texts for t in text.split())
+            return plain.encode_batch_fast(texts, **how)
+
+        def encode(self, text, **how):
+            return plain.encode(text, **how)
+
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    monkeypatch.setattr(packing, "_TOKENIZER", [Counted(), closes])
+    texts = ["Rivers. rivers, RIVERS rivers### Été été. don't don' 's. a1 \u0130x ab<|endoftext|> ab\u0301. <| x-y 漢字."]
+    got = packing.packed_ids([t.encode() for t in texts], source)
+    want = [np.array([i for w in t.split() for i in plain.encode(w, add_special_tokens=False).ids], dtype="<u4").tobytes() for t in texts]
+    assert got == want
+    assert asked.count("rivers") == 1 and asked.count("été") == 1 and not any(t.startswith("R") for t in asked)
+
+
 def test_sharding(docs, none):
     rows = sharding.assigned(docs).collect()
     assert sorted(r["size"] for r in rows) == sorted(len((t or "").encode()) + 8 for _, t, *_ in ROWS)

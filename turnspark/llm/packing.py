@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -19,6 +20,11 @@ from turnspark.llm.tables import keyed, remember, slices, stored, utf8
 SEQUENCE = 4096
 END = 1  # id that closes every document
 CACHE_WORDS = 600_000
+JOINED = 300  # runs of letters that are tokenised as one text
+#: Letters, then marks: parts that the public vocabulary tokenises one by one, the letters in lower case.
+PARTED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+CLOSING = "</w>"  # of the last piece of each part
+PARTING = ("[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+", '"Lowercase"', f'"{CLOSING}"')  # what says so in its file
 SHARD = 8192  # expected pieces of one problem
 ISLANDS = 2
 EPOCHS = 2
@@ -41,8 +47,50 @@ def _tokenizer(source: str):
     if not _TOKENIZER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(source)
-        _TOKENIZER.append(tokenizer)
-    return _TOKENIZER[0]
+        pieces = tokenizer.get_vocab()
+        closes = np.zeros(max(pieces.values(), default=0) + 1, dtype=bool)
+        closes[[i for piece, i in pieces.items() if piece.endswith(CLOSING)]] = True
+        _TOKENIZER.extend((tokenizer, closes))
+    return _TOKENIZER
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def _letter_ids(tokenizer, closes: np.ndarray, runs: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    """Each run of lower-case letters with its ids; many runs are one text, cut again at closing pieces."""
+    for low in range(0, len(runs), JOINED):
+        group = runs[low : low + JOINED]
+        (encoding,) = tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)
+        ids = np.array(encoding.ids, dtype="<u4")
+        data = ids.tobytes()
+        ends = (4 * (np.nonzero(closes[ids])[0] + 1)).tolist()
+        yield from zip(map(str.encode, group), map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+
+
+def _learn(known: dict[bytes, bytes], fresh: list[bytes], source: str) -> None:
+    """Add the ids of words to ``known``; those of letters and marks are put together from their parts."""
+    tokenizer, closes = _tokenizer(source)
+    parted, whole, letters = [], [], set()
+    split = PARTED.fullmatch if all(sign in source for sign in PARTING) else lambda text: None
+    for word in fresh:
+        text = word.decode("utf-8", "replace")
+        if found := split(text):
+            letters.add(run := found[1].lower())
+            marks = found[2].encode()
+            parted.append((word, run.encode(), marks))
+            if marks and marks not in known:
+                known[marks] = _bytes(tokenizer.encode(found[2], add_special_tokens=False).ids)
+        else:
+            whole.append((word, text))
+    known.update(_letter_ids(tokenizer, closes, [run for run in letters if run.encode() not in known]))
+    for word, run, marks in parted:
+        known[word] = known[run] + known[marks] if marks else known[run]
+    for low in range(0, len(whole), 20_000):
+        some = whole[low : low + 20_000]
+        for (word, _), encoding in zip(some, tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+            known[word] = _bytes(encoding.ids)
 
 
 def packed_ids(texts: list[bytes | None], source: str) -> list[bytes]:
@@ -57,12 +105,7 @@ def packed_ids(texts: list[bytes | None], source: str) -> list[bytes]:
     words = [(t or b"").split() for t in texts]
     fresh = list(set().union(*words).difference(known))
     if fresh:
-        tokenizer = _tokenizer(source)
-        for low in range(0, len(fresh), 20_000):
-            some = fresh[low : low + 20_000]
-            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for word, encoding in zip(some, found):
-                known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        _learn(known, fresh, source)
     return [b"".join(map(known.__getitem__, some)) for some in words]
 
 
