@@ -328,6 +328,14 @@ def test_sharding(docs, none):
     assert sharding.assigned(none).count() == 0
 
 
+def test_star_links_of_a_dense_group(spark):
+    """One row for a fingerprint and a star, however many buckets hold them; far stars give none."""
+    fps = [0, 1, 2, 4, 8]
+    shared = spark.createDataFrame([(k, f, 0, 1, 2, -1) for k in range(30) for f in fps], "key long, fp long, l1 long, l2 long, l3 long, l4 long")
+    rows = [tuple(r) for r in simhash.star_links(shared).collect()]
+    assert sorted(rows) == sorted((f, x) for f in fps for x in (0, 1, 2) if f != x)
+
+
 def test_differencing():
     sizes = [[rng.randint(1, 10_000)] for _ in range(500)]
     sums, slots = sharding.difference(sizes, 24)

@@ -137,6 +137,17 @@ def _near(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(left.bitwiseXOR(right)) <= MAX_BITS
 
 
+def star_links(shared: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` of fingerprints with those of their bucket's members ``l1`` to ``l4`` that are near them.
+
+    A dense group has the same four in most of its buckets; those rows are one before they are taken apart.
+    """
+    stars = F.array_distinct(F.array("l1", "l2", "l3", "l4"))
+    near = F.filter(stars, lambda x: _near(F.col("fp"), x) & (F.col("fp") != x))
+    found = shared.select("fp", near.alias("near")).where(F.size("near") > 0).distinct()
+    return found.select(F.col("fp").alias("a"), F.explode("near").alias("b"))
+
+
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """Component root of every linked fingerprint: ``node``, ``root``; ``distinct`` has ``fp``.
 
@@ -158,10 +169,7 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     some = [few.where(_near(a, b) & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"))
             for a, b in (("l1", "l2"), ("l1", "l5"), ("l2", "l5"))]
     shared = stored(keys.join(buckets.where("n > 3").drop("n", "mix"), "key"), "shared")
-    leaders = shared.select("fp", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("leader"))
-    first = leaders.where(_near("fp", "leader") & (F.col("fp") != F.col("leader"))).select(
-        F.col("fp").alias("a"), F.col("leader").alias("b")
-    )
+    first = star_links(shared)
     first = first.union(some[0]).union(some[1]).union(some[2])
     roots = stored(components(first), "roots")
     members = shared.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(
