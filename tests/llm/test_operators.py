@@ -343,6 +343,13 @@ def test_differencing():
     assert sums == np.bincount([s[0] for s in slots], weights=[s[0] for s in sizes], minlength=24).tolist()
 
 
+def test_differencing_goes_on_where_the_ends_cannot_trade():
+    for seed in (1290, 2967, 6468):
+        own = random.Random(seed)
+        sums, _ = sharding.difference([[own.randint(1, 10_000)] for _ in range(500)], 24)
+        assert max(sums) - min(sums) <= 10
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules.judged(docs, labels).collect()

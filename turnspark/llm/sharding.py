@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -59,14 +60,17 @@ def difference(parts: list[list[int]], shards: int) -> tuple[list[int], list[lis
 
 
 def _exchange(sums: np.ndarray, parts: list[list[int]], where: list) -> np.ndarray:
-    """Let two parts at a time trade their places in a larger and a smaller sum, the largest or smallest being one of them."""
+    """Let two parts at a time trade their places in a larger and a smaller sum, one of them the largest or smallest if that helps.
+
+    Where it does not, trades between two others change what the largest and smallest can trade next.
+    """
     sums = sums.copy()
     held = np.zeros((len(parts) + 1, len(sums)), dtype=np.int64)  # the last row is no part: one may trade alone
     for i, p in enumerate(parts):
         held[i, where[i][: len(p)]] = p
     for _ in range(EXCHANGES):
         ranked = np.argsort(sums, kind="stable")
-        pairs = [(ranked[-1], x) for x in ranked[:-1]] + [(x, ranked[0]) for x in ranked[:0:-1]]
+        pairs = chain(((ranked[-1], x) for x in ranked[:-1]), ((x, ranked[0]) for x in ranked[:0:-1]), combinations(ranked[-2:0:-1], 2))
         found = next(filter(None, (_trade(held[:, a] - held[:, b], int(sums[a] - sums[b]), a, b) for a, b in pairs)), None)
         if found is None:
             break
