@@ -109,3 +109,18 @@ def test_a_feature_block_is_required(spark):
     none = tm.TextRecipe("n", ())
     with pytest.raises(ValueError):
         tm.fit_features(turns(spark), none)
+
+
+def test_the_vocabulary_is_a_table(spark):
+    """Terms stay in rows that the n-grams are joined with; rows of equal ids and null texts keep vectors of their own."""
+    data = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, None), (3, "aa cc cc")], "id long, text string")
+    fitted = tm.fit_features(data, tm.TextRecipe("t", (tm.Grams("word", 1, 1),)))
+    vocabulary = fitted.blocks["word"]
+    idf = math.log(5 / 3) + 1
+    assert sorted((r["term"], r["place"], round(r["idf"], 9)) for r in vocabulary.rows.collect()) == [
+        (t, i, round(idf, 9)) for i, t in enumerate(("aa", "bb", "cc"))
+    ]
+    two = 1 + math.log(2)
+    want = [(1, [two, 1, 0]), (1, [0, 1, 1]), (2, [0, 0, 0]), (3, [1, 0, two])]
+    got = sorted((r["id"], *r["features"].toArray().round(6)) for r in fitted.transform(data).collect())
+    assert got == sorted((i, *np.round(np.array(w) / (np.linalg.norm(w) or 1), 6), 1.0) for i, w in want)
