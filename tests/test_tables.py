@@ -293,3 +293,22 @@ def test_load_trials_checks(spark):
         load_trials(df, [1, 2], order=[F.col("subject")])
     with pytest.raises(KeyError):
         load_trials(df.drop("y"))
+
+
+@pytest.mark.parametrize("r", [0.95, 0.99])
+def test_near_candidates_share_more_than_a_passage(spark, r):
+    """Prefixes of two texts that reach the ratio share the tokens asked for; texts with a passage in common do not meet."""
+    import random
+
+    rng, q = random.Random(3), nr.run_length(r)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = letters(150)
+    texts = [passage + letters(600) for _ in range(6)]
+    changed = texts[0][:300] + "x" + texts[0][301:]
+    frame = spark.createDataFrame(list(enumerate(texts)), "no long, text string")
+    other = spark.createDataFrame([(9, changed)], "no long, text string")
+    assert [tuple(x) for x in nr.candidate_pairs(frame, other, r).collect()] == [(9, 0)]
+    counters = nr.run_counters(frame, q)
+    mine, its = (set(nr.prefix_tokens(t, counters, r, q).tolist()) for t in (texts[0], changed))
+    assert len(mine & its) >= nr.least_met(len(changed), r, q) > 1
+    assert nr.shares_enough(texts[0], changed, r) and not nr.shares_enough(texts[0], texts[1], r)
