@@ -124,3 +124,38 @@ def test_the_vocabulary_is_a_table(spark):
     want = [(1, [two, 1, 0]), (1, [0, 1, 1]), (2, [0, 0, 0]), (3, [1, 0, two])]
     got = sorted((r["id"], *r["features"].toArray().round(6)) for r in fitted.transform(data).collect())
     assert got == sorted((i, *np.round(np.array(w) / (np.linalg.norm(w) or 1), 6), 1.0) for i, w in want)
+
+
+@pytest.mark.parametrize("loss,even,most", [("logistic", ("copies",), None), ("hinge", ("weights",), 9)])
+def test_folds_share_one_pass_over_the_texts(spark, monkeypatch, loss, even, most):
+    """Scores are those of a fit on each fold's training rows by itself; ids repeat and a text is null."""
+    blocks = (tm.Grams("word", 1, 2, most=most), tm.Grams("char", 3, 4), tm.Cues())
+    recipe = tm.TextRecipe("t", blocks, tm.Linear(loss, even=even, rounds=6))
+    more = spark.createDataFrame([(1, "um well I said that", 0), (500, None, 1), (500, "thanks for the help.", 1)], "id long, text string, label int")
+    data, calls, cut = turns(spark).unionByName(more), [], tm.tf.term_counts
+
+    def counted(texts, *args):
+        calls.append(texts.count())
+        return cut(texts, *args)
+
+    monkeypatch.setattr(tm.tf, "term_counts", counted)
+    oof = sw.cross_validate(data, recipe, 2, 7)
+    assert calls == [data.count()] * 2
+    got = sorted((r["fold"], r["id"], r["label"], r["score"]) for r in oof.collect())
+    placed = stratified_kfold(data, 2, 7).localCheckpoint()
+    want = []
+    for fold in range(2):
+        train = placed.where(F.col("fold") != fold).drop("fold")
+        scored = tm.fit_text_model(train, recipe, 7 + fold + 1).scores(placed.where(F.col("fold") == fold))
+        want += [(r["fold"], r["id"], r["label"], r["score"]) for r in scored.collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and len(got) == data.count()
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)], abs=1e-6)
+    assert max(calls) == data.count()
+
+
+def test_a_fold_without_frequent_terms_is_refused(spark):
+    rows = [(i, f"w{i // 2}", i % 2) for i in range(8)]
+    data = spark.createDataFrame(rows, "id long, text string, label int")
+    recipe = tm.TextRecipe("t", (tm.Grams("word", 1, 1, min_rows=5),))
+    with pytest.raises(ValueError):
+        sw.cross_validate(data, recipe, 2, 1)
