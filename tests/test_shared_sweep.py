@@ -9,6 +9,7 @@ from turnspark.models import sparse_linear as sl
 from turnspark.operators import thresholds as th
 from turnspark.operators.balance import random_oversample
 from turnspark.plans import shared_sweep as ss
+from turnspark.queries import experiments
 from turnspark.shipping import ship_package
 
 GOOD = ["thanks a lot for the help", "the train leaves at nine", "please open the window now", "we had dinner at home"]
@@ -129,3 +130,18 @@ def test_sweep_and_bagging(spark):
     for r in found.collect():
         assert r["prob"] == pytest.approx(np.mean(r["members"]), abs=1e-6) and r["pred"] == int(r["prob"] >= cut)
     assert found.count() == 9 and own.count() == data.count()
+
+
+def test_registered_sweep_has_every_configuration(spark, monkeypatch):
+    """Word, character, union and cue configurations alike go into the sweep, and so the ensembles."""
+    seen = []
+
+    def sweep(turns, folds, seed, single=ss.SINGLE, union=ss.UNION):
+        seen.extend(c.name for c in (*single, *union))
+        board = spark.createDataFrame([(1, "n", "word", 0.5, 0.1, 0.0, 0.5, [0.5])], "place int, name string, kind string, mean_score double, std_score double, threshold double, tuned_macro_f1 double, fold_scores array<double>")
+        return board, None, None
+
+    monkeypatch.setattr(experiments.v, "turns", lambda *_: None)
+    monkeypatch.setattr(ss, "shared_sweep", sweep)
+    assert experiments.sweep_query(spark, "").count() == 1
+    assert seen == [c.name for c in (*ss.SINGLE, *ss.UNION)] and len(seen) == 19
