@@ -159,3 +159,12 @@ def test_a_fold_without_frequent_terms_is_refused(spark):
     recipe = tm.TextRecipe("t", (tm.Grams("word", 1, 1, min_rows=5),))
     with pytest.raises(ValueError):
         sw.cross_validate(data, recipe, 2, 1)
+
+
+def test_fits_side_by_side_fit_the_driver():
+    """Five solvers with the arrays of a large vocabulary each once filled the driver."""
+    def rows(terms):
+        return tm.FoldRows(None, None, [(0, terms)]).side_by_side()
+
+    assert rows(1000) == tm.PARALLEL_FITS and rows(400_000) == 2 and rows(5_000_000) == 1
+    assert tm.FoldRows(None, None, []).side_by_side() == tm.PARALLEL_FITS
